@@ -13,6 +13,7 @@ from cohortkit.operators.cohort import (
     random_sample,
     random_split,
     rename_columns,
+    tag_split,
 )
 from cohortkit.operators.evaluate import (
     auc,
@@ -73,5 +74,6 @@ __all__ = [
     "roc_points",
     "row_count",
     "score",
+    "tag_split",
     "totals_by",
 ]

@@ -83,10 +83,21 @@ def random_sample(df: DataFrame, fraction: float = 0.01, seed: int = 42) -> Data
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
+def _part(df: DataFrame, key: str, train_percent: int) -> Column:
+    return F.when(hash_bucket(df[key], 100) < train_percent, "train").otherwise("test")
+
+
+def tag_split(
+    df: DataFrame, key: str, train_percent: int = 80, name: str = "part"
+) -> DataFrame:
+    """The rows with ``train`` or ``test`` by a hash of ``key``, in one pass."""
+    return df.withColumn(name, _part(df, key, train_percent))
+
+
 def hash_split(df: DataFrame, key: str, train_percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a hash of ``key``; every row is in exactly one."""
-    bucket = hash_bucket(df[key], 100)
-    return df.filter(bucket < train_percent), df.filter(bucket >= train_percent)
+    part = _part(df, key, train_percent)
+    return df.filter(part == "train"), df.filter(part == "test")
 
 
 def random_split(

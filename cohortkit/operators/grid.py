@@ -39,31 +39,53 @@ def grid_buckets(
     of double arithmetic at ``min``, and the comparison with both cell borders
     settles points that the division puts on the wrong side. The bounds are
     one scalar subquery that reads only the coordinates.
+
+    Each stage names its results, so that the next refers to columns instead
+    of repeating their expressions.
     """
-    points = {name: _finite(df[name]) for name in buckets}
-    bounds = df.agg(
-        F.struct(
-            *[F.min(p).alias(f"low{i}") for i, p in enumerate(points.values())],
-            *[F.max(p).alias(f"high{i}") for i, p in enumerate(points.values())],
-        )
-    ).scalar()
-    cells = {}
-    for i, (name, bucket) in enumerate(buckets.items()):
-        low, high = bounds.getField(f"low{i}"), bounds.getField(f"high{i}")
-        cells[bucket] = _cell(points[name], low, high, step)
-    return df.withColumns(cells)
-
-
-def _cell(x: Column, low: Column, high: Column, step: float) -> Column:
-    width = (low + step) - low
-    last = F.greatest(F.ceil(((high + step) - low) / step) - 2, F.lit(0))
-    guess = F.floor((x - low) / width)
+    axes = list(enumerate(buckets))
+    points = {f"__x{i}": _finite(df[name]) for i, name in axes}
+    ends = [
+        end(x).alias(f"{label}{c}")
+        for c, x in points.items()
+        for label, end in (("low", F.min), ("high", F.max))
+    ]
+    box = df.agg(F.struct(*ends)).scalar()
+    staged = df.withColumns({**points, "__box": box})
+    staged = staged.withColumns(
+        {
+            name: value
+            for i, _ in axes
+            for name, value in _axis(F.col(f"__box.low__x{i}"), F.col(f"__box.high__x{i}"), step, i)
+        }
+    )
+    staged = staged.withColumns({f"__guess{i}": _guess(i) for i, _ in axes})
+    cells = staged.withColumns({bucket: _cell(i) for i, bucket in enumerate(buckets.values())})
+    return cells.select(*[c for c in df.columns if c not in buckets.values()], *buckets.values())
+
+
+def _axis(low: Column, high: Column, step: float, i: int) -> list[tuple[str, Column]]:
+    cells = F.ceil(((high + step) - low) / step) - 1
+    return [
+        (f"__low{i}", low),
+        (f"__width{i}", (low + step) - low),
+        (f"__last{i}", F.greatest(cells - 1, F.lit(0))),
+    ]
+
+
+def _guess(i: int) -> Column:
+    return F.floor((F.col(f"__x{i}") - F.col(f"__low{i}")) / F.col(f"__width{i}"))
+
+
+def _cell(i: int) -> Column:
+    x, low, width = F.col(f"__x{i}"), F.col(f"__low{i}"), F.col(f"__width{i}")
+    guess = F.col(f"__guess{i}")
     exact = (
         F.when(x < low + guess * width, guess - 1)
         .when(x >= low + (guess + 1) * width, guess + 1)
         .otherwise(guess)
     )
-    return F.when(x.isNotNull(), F.least(exact, last)).cast("double")
+    return F.when(x.isNotNull(), F.least(exact, F.col(f"__last{i}"))).cast("double")
 
 
 def grid_rate(
@@ -74,13 +96,16 @@ def grid_rate(
     name: str = "rate",
     rows_name: str = "n",
 ) -> DataFrame:
-    """Mean flag and rows per cell; rows without a cell are left out."""
-    cells = list(buckets.values())
-    return (
-        grid_buckets(df, buckets, step)
-        .na.drop(subset=cells)
-        .groupBy(*cells)
-        .agg(F.avg(flag).alias(name), F.count("*").alias(rows_name))
+    """Mean flag and rows per cell; rows without a cell are left out.
+
+    They are told by their coordinates, a test that moves down to the scan.
+    The bounds still come from all rows.
+    """
+    flagged = grid_buckets(df.withColumn("__flag", flag), buckets, step)
+    for point in buckets:
+        flagged = flagged.filter(_finite(flagged[point]).isNotNull())
+    return flagged.groupBy(*buckets.values()).agg(
+        F.avg("__flag").alias(name), F.count("*").alias(rows_name)
     )
 
 

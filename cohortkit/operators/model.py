@@ -35,15 +35,14 @@ def fit_logistic(
     make at most 4,096 rows out of any number. The optimizer passes over that
     frame many times, so its lineage is cut first.
     """
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol=_FEATURES),
-        LogisticRegression(featuresCol=_FEATURES, labelCol=label),
-    ]
+    assembler = VectorAssembler(inputCols=list(features), outputCol=_FEATURES)
+    regression = LogisticRegression(featuresCol=_FEATURES, labelCol=label)
     rows = train.select(*features, label)
     if collapse:
-        stages[-1].setWeightCol(_WEIGHT)
-        rows = rows.groupBy(*features, label).agg(F.count("*").cast("double").alias(_WEIGHT))
-    return Pipeline(stages=stages).fit(cut_lineage(rows))
+        counted = rows.groupBy(*features, label).agg(F.count("*").cast("double").alias(_WEIGHT))
+        rows = cut_lineage(counted)
+        regression.setWeightCol(_WEIGHT)
+    return Pipeline(stages=[assembler, regression]).fit(rows)
 
 
 def score(

@@ -78,13 +78,6 @@ def _by_age_limit(judge: Callable[[DataFrame], DataFrame]) -> Query:
     )
 
 
-def _hash_split(df: DataFrame) -> DataFrame:
-    train, test = op.hash_split(df.select("person_id"), "person_id")
-    return train.withColumn("part", F.lit("train")).unionAll(
-        test.withColumn("part", F.lit("test"))
-    )
-
-
 def _vector_text(vector: str) -> Column:
     """A one-hot vector as text of zeros and ones."""
     digits = F.transform(vector_to_array(vector), lambda x: x.cast("int").cast("string"))
@@ -168,7 +161,7 @@ QUERIES: dict[str, Query] = {
     "one_hot_grid": _on_people(_one_hot),
     "grid_turnout": _analysis(lambda a: a.turnout_by_cell()),
     # models
-    "hash_split": _on_people(_hash_split),
+    "hash_split": _on_people(lambda df: op.tag_split(df.select("person_id"), "person_id")),
     "model_features_interests": _analysis(lambda a: a.interest_features()),
     "model_features_demo": _analysis(lambda a: a.demographic_features()),
     "model_features_all": _analysis(lambda a: a.all_features()),

@@ -13,16 +13,19 @@ from cohortkit.sources.tables import table
 
 
 def people(spark: SparkSession, directory: str) -> DataFrame:
-    """Spark picks the join strategy from table sizes; nothing is forced.
+    """Spark picks the join strategies from table sizes; nothing is forced.
 
-    ``nation`` is small enough for an automatic broadcast at any scale. The
-    ``customer`` join falls back to a shuffle when the table is large, where
-    adaptive execution splits a customer that owns very many orders.
+    ``nation`` has 25 rows at any scale, so Spark broadcasts it. It joins
+    ``customer`` first, so that a filter on the county cuts the customers
+    before they are shuffled. The join with ``orders`` is a shuffle when the
+    customers are many, where adaptive execution splits a customer who owns
+    very many orders.
     """
-    joined = (
-        table(spark, directory, "orders")
-        .join(table(spark, directory, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, directory, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    residents = table(spark, directory, "customer").join(
+        table(spark, directory, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    joined = table(spark, directory, "orders").join(
+        residents, F.col("o_custkey") == F.col("c_custkey")
     )
     key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
     return joined.select(
