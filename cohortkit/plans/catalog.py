@@ -78,10 +78,11 @@ def _by_age_limit(judge: Callable[[DataFrame], DataFrame]) -> Query:
     )
 
 
-def _vector_text(vector: str) -> Column:
-    """A one-hot vector as text of zeros and ones."""
-    digits = F.transform(vector_to_array(vector), lambda x: x.cast("int").cast("string"))
-    return F.when(F.col(vector).isNotNull(), F.array_join(digits, ""))
+def _vector_shape(cell: str, vector: str) -> list[Column]:
+    """Length of a one-hot vector and the index of its 1 (none for the last cell)."""
+    array = F.when(F.col(vector).isNotNull(), vector_to_array(vector))
+    hot = F.nullif(F.array_position(array, F.lit(1.0)), F.lit(0).cast("bigint")) - 1
+    return [F.array_size(array).alias(f"{cell}_length"), hot.alias(f"{cell}_hot")]
 
 
 def _cells(df: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def _one_hot(df: DataFrame) -> DataFrame:
     )
     return vectors.select(
         "person_id",
-        _vector_text("long_vector").alias("long_vector"),
-        _vector_text("lat_vector").alias("lat_vector"),
+        *_vector_shape("long", "long_vector"),
+        *_vector_shape("lat", "lat_vector"),
     )
 
 

@@ -11,21 +11,29 @@ from pyspark.sql import functions as F
 
 from cohortkit.sources.tables import table
 
+# The columns of the three tables that are used here, as they are stored.
+_SCHEMAS = {
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+        "o_totalprice double, o_orderpriority string"
+    ),
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+}
+
 
 def people(spark: SparkSession, directory: str) -> DataFrame:
     """Spark picks the join strategies from table sizes; nothing is forced.
 
-    ``nation`` has 25 rows at any scale, so Spark broadcasts it. It joins
-    ``customer`` first, so that a filter on the county cuts the customers
-    before they are shuffled. The join with ``orders`` is a shuffle when the
-    customers are many, where adaptive execution splits a customer who owns
-    very many orders.
+    ``nation`` has 25 rows at any scale, so Spark broadcasts it. The join with
+    ``customer`` becomes a shuffle when that table is large; adaptive
+    execution then splits a customer who owns very many orders.
     """
-    residents = table(spark, directory, "customer").join(
-        table(spark, directory, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    orders, customer, nation = (
+        table(spark, directory, name, schema) for name, schema in _SCHEMAS.items()
     )
-    joined = table(spark, directory, "orders").join(
-        residents, F.col("o_custkey") == F.col("c_custkey")
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
     key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
     return joined.select(

@@ -13,14 +13,20 @@ def session(app_name: str = "cohortkit") -> SparkSession:
     return SparkSession.builder.appName(app_name).getOrCreate()
 
 
-def load(spark: SparkSession, *paths: str) -> DataFrame:
-    """Parquet files from any Hadoop file system; globs allowed."""
-    return spark.read.parquet(*paths)
+def load(spark: SparkSession, *paths: str, schema: str | None = None) -> DataFrame:
+    """Parquet files from any Hadoop file system; globs allowed.
+
+    With a ``schema`` no file is opened before the query runs.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*paths)
 
 
-def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+def table(
+    spark: SparkSession, directory: str, name: str, schema: str | None = None
+) -> DataFrame:
     """One named table of a directory of Parquet tables."""
-    return load(spark, f"{directory.rstrip('/')}/{name}.parquet")
+    return load(spark, f"{directory.rstrip('/')}/{name}.parquet", schema=schema)
 
 
 def keep(df: DataFrame, columns: list[str]) -> DataFrame:

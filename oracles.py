@@ -161,12 +161,11 @@ SELECT '{name}' AS column_name,
 )
 
 
-def _one_hot(bucket: str, vector: str) -> str:
-    k = f"CAST({bucket} AS BIGINT)"
-    top = f"CAST(max({bucket}) OVER () AS BIGINT)"
+def _one_hot(bucket: str, cell: str) -> str:
+    top = f"max({bucket}) OVER ()"
     return f"""
- CASE WHEN {bucket} IS NULL THEN NULL WHEN {k} = {top} THEN repeat('0', {top})
-  ELSE repeat('0', {k}) || '1' || repeat('0', {top} - {k} - 1) END AS {vector}"""
+ CASE WHEN {bucket} IS NOT NULL THEN CAST({top} AS INTEGER) END AS {cell}_length,
+ CASE WHEN {bucket} < {top} THEN CAST({bucket} AS BIGINT) END AS {cell}_hot"""
 
 
 SQL: dict[str, str] = {
@@ -249,8 +248,8 @@ FROM people GROUP BY 1 HAVING avg({STRIP_ALL}) IS NOT NULL"""
     ),
     "grid_buckets": _with("SELECT person_id, long_bucket, lat_bucket FROM cells", extra=_CELLS),
     "one_hot_grid": _with(
-        f"""SELECT person_id, {_one_hot("long_bucket", "long_vector")},
- {_one_hot("lat_bucket", "lat_vector")} FROM cells""",
+        f"""SELECT person_id, {_one_hot("long_bucket", "long")},
+ {_one_hot("lat_bucket", "lat")} FROM cells""",
         extra=_CELLS,
     ),
     "grid_turnout": _with(
