@@ -1,0 +1,112 @@
+"""Logistic regression against Newton's method on a small table."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortkit import operators as op
+from cohortkit.plans import VOTER_FILE, Analyses
+
+
+@pytest.fixture(scope="module")
+def signal(spark):
+    """Two flags and an age that decide the label more often than not."""
+    rng = np.random.default_rng(11)
+    n = 6000
+    a, b, age = rng.integers(0, 2, n), rng.integers(0, 2, n), rng.integers(18, 31, n)
+    chance = 1 / (1 + np.exp(-(-4 + 1.5 * a - 0.8 * b + 0.15 * age)))
+    y = (rng.random(n) < chance).astype(int)
+    rows = [tuple(int(v) for v in r) for r in zip(range(n), a, b, age, y)]
+    return spark.createDataFrame(rows, "k int, a int, b int, age int, y int")
+
+
+def _newton(df):
+    rows = np.array(df.select("a", "b", "age", "y").collect(), dtype=float)
+    x = np.column_stack([np.ones(len(rows)), rows[:, :3]])
+    y, w = rows[:, 3], np.zeros(4)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p))
+    return w
+
+
+@pytest.mark.parametrize("collapse", [True, False])
+def test_coefficients(signal, collapse):
+    train, _ = op.hash_split(signal, "k")
+    fitted = op.fit_logistic(train, ["a", "b", "age"], "y", collapse).stages[-1]
+    expected = _newton(train)
+    assert fitted.intercept == pytest.approx(expected[0], abs=2e-2)
+    assert fitted.coefficients.toArray() == pytest.approx(expected[1:], abs=2e-3)
+
+
+def test_scores_of_the_test_rows(signal):
+    train, test = op.hash_split(signal, "k")
+    scored = op.score(op.fit_logistic(train, ["a", "b", "age"], "y"), test, "y", "k")
+    w = _newton(train)
+    rows = {r.k: r for r in scored.collect()}
+    for r in test.collect():
+        p = 1 / (1 + np.exp(-(w[0] + w[1] * r.a + w[2] * r.b + w[3] * r.age)))
+        assert rows[r.k].probability == pytest.approx(p, abs=2e-3)
+        assert rows[r.k].prediction == float(rows[r.k].probability > 0.5)
+        assert rows[r.k].y == r.y
+    assert len(rows) == test.count()
+    assert op.auc(scored, "probability", "y").first()[0] > 0.65
+
+
+def test_feature_table_drops_only_incomplete_rows(spark):
+    df = spark.createDataFrame([(None, 1, 0), (2, None, 1), (3, 4, 1)], "k int, a int, y int")
+    rows = op.feature_table(df, ["a"], "y", "k").collect()
+    assert sorted(r.a for r in rows) == [1, 4]
+
+
+@pytest.fixture(scope="module")
+def voter_file(spark):
+    """A table with the registration file's own column names, all text."""
+    i = F.col("id")
+    interests = {
+        name: F.when((i * (n + 3)) % 7 < 2, "Yes")
+        for n, name in enumerate(VOTER_FILE.model_interests)
+    }
+    return spark.range(3000).select(
+        F.when(i % 10 == 0, "OTHER").otherwise("MURRAY").alias("County"),
+        (18 + i % 40).cast("string").alias("Voters_Age"),
+        F.when(i % 2 == 0, "M").otherwise("F").alias("Voters_Gender"),
+        F.concat(F.lit("G"), i % 4).alias("Ethnic_Description"),
+        F.when(i % 5 > 0, F.concat(F.lit("E"), i % 3)).alias("EthnicGroups_EthnicGroup1Desc"),
+        F.concat(F.lit("band"), i % 6).alias("CommercialData_EstimatedHHIncome"),
+        F.concat(F.lit("$"), 20000 + (i * 37) % 90000).alias("CommercialData_EstimatedHHIncomeAmount"),
+        F.concat(F.lit("$"), 40000 + i % 5).alias("CommercialData_EstimatedAreaMedianHHIncome"),
+        (31 + (i % 100) / 40).cast("string").alias("Residence_Addresses_Latitude"),
+        (-84 - (i % 90) / 40).cast("string").alias("Residence_Addresses_Longitude"),
+        F.when((i * 7919) % 11 < 6, "Y").when(i % 3 == 0, "N").alias("General_2020"),
+        *[value.alias(name) for name, value in interests.items()],
+    )
+
+
+def test_analyses_run_on_the_registration_file(voter_file):
+    young = Analyses(voter_file, VOTER_FILE).cohort("MURRAY")
+    everyone = Analyses(voter_file, VOTER_FILE)
+    tables = [
+        young.group_details(), young.group_counts(), young.turnout_by_group(),
+        young.group_share(), young.interest_counts(), young.interest_ratio(),
+        young.interest_table(), everyone.area_null_ratios(), everyone.area_points(),
+        everyone.area_bounds(), everyone.area_cells(), everyone.area_cell_vectors(),
+        everyone.turnout_by_cell(), everyone.turnout_by_age(), everyone.totals_by_age(),
+        everyone.turnout_by_gender(), everyone.turnout_by_income(),
+        everyone.turnout_by_income_gender(), everyone.age_by_group(),
+        everyone.income_by_group(), young.interest_correlations(),
+    ]
+    assert all(not t.isEmpty() for t in tables)
+    assert young.interest_table().count() == 8
+    assert young.interest_correlations().count() == 144
+
+
+def test_models_run_on_the_registration_file(voter_file):
+    young = Analyses(voter_file, VOTER_FILE).cohort("MURRAY")
+    run = young.full_model()
+    assert run.model.stages[-1].numFeatures == 14
+    assert 0 <= run.auc().first()[0] <= 1
+    assert run.confusion().agg(F.sum("count")).first()[0] == run.scored.count()
+    assert run.confusion_wide().columns == ["Voters_Turnout", "0.0", "1.0"]
+    assert run.roc().count() == run.scored.select("probability").distinct().count() + 1
+    assert run.sample().count() == 10
