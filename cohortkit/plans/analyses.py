@@ -181,13 +181,15 @@ class Analyses:
 
     def age_by_group(self) -> DataFrame:
         age = op.int_column(self.df, self.at.age)
-        return op.mean_by(self.df, self.at.group_detail, age, "Average_Age").orderBy("Average_Age")
+        return op.mean_by(self.df, self.at.group_detail, age, "Average_Age").orderBy(
+            "Average_Age", self.at.group_detail
+        )
 
     def income_by_group(self) -> DataFrame:
         income = parse_money(self.df[self.at.income_amount], "strip_all")
         return op.mean_by(
             self.df, self.at.group_detail, income, "Average_Income", drop_null_means=True
-        ).orderBy("Average_Income")
+        ).orderBy("Average_Income", self.at.group_detail)
 
     # --- models -----------------------------------------------------------
 

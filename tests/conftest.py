@@ -14,6 +14,7 @@ def spark():
         .appName("cohortkit-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
