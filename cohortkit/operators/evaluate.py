@@ -123,20 +123,23 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = list(columns)
     short = [f"c{i}" for i in range(len(names))]
     rows = (
-        df.select(*[df[name].cast("double").alias(c) for name, c in zip(names, short)])
+        df.select(*[df[name].alias(c) for name, c in zip(names, short)])
         .na.drop()
         .groupBy(*short)
         .agg(F.count("*").cast("double").alias("w"))
+        .withColumns({c: F.col(c).cast("double") for c in short})
     )
-    means = rows.agg(
-        F.struct(*[F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w")).alias(c) for c in short])
-    ).scalar()
-    centred = rows.select(
-        "w", *short, *[(F.col(c) - means.getField(c)).alias(f"d_{c}") for c in short]
+    weighted = [F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w")).alias(c) for c in short]
+    means = rows.agg(F.struct(*weighted)).scalar()
+    centred = rows.withColumn("mean", means).withColumns(
+        {f"d_{c}": F.col(c) - F.col(f"mean.{c}") for c in short}
     )
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = centred.agg(
-        *[F.sum(F.col("w") * F.col(f"d_c{i}") * F.col(f"d_c{j}")).alias(f"s{i}_{j}") for i, j in pairs],
+        *[
+            F.sum(F.col("w") * F.col(f"d_c{i}") * F.col(f"d_c{j}")).alias(f"s{i}_{j}")
+            for i, j in pairs
+        ],
         *[(F.min(c) < F.max(c)).alias(f"varies_{c}") for c in short],
     )
 

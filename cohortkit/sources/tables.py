@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,23 +40,25 @@ def keep(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the cluster's shared folder and read it back.
 
     For frames that later steps must see unchanged (fixed row placement) or
-    read many times. Survives the loss of any executor.
+    read many times. Survives the loss of any executor, is computed in one
+    pass, and later steps read only the columns they need. The table stays
+    until the folder is cleaned.
     """
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _checkpoint_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if shared is not None:
-        if current is None or shared.rstrip("/") not in current:
-            context.setCheckpointDir(shared)
-    elif current is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortkit-checkpoint-"))
+    path = f"{_shared_folder(df.sparkSession)}/cohortkit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only where unset and local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = named or spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortkit-"))
+    return spark.sparkContext.getCheckpointDir()
