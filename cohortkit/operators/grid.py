@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
@@ -22,13 +24,6 @@ def bounding_box(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _finite(point: Column) -> Column:
-    """The coordinate as a double; NaN and infinities are missing values, so
-    that one bad row cannot stretch the grid."""
-    wide = point.cast("double")
-    return F.when(F.abs(wide) < F.lit(float("inf")), wide)
-
-
 def grid_buckets(
     df: DataFrame, buckets: Mapping[str, str], step: float = DEFAULT_STEP
 ) -> DataFrame:
@@ -44,33 +39,35 @@ def grid_buckets(
     of repeating their expressions.
     """
     axes = list(enumerate(buckets))
-    points = {f"__x{i}": _finite(df[name]) for i, name in axes}
+    staged = df.withColumns({f"__v{i}": df[name].cast("double") for i, name in axes})
+    staged = staged.withColumns({f"__x{i}": _finite(f"__v{i}") for i, _ in axes})
     ends = [
-        end(x).alias(f"{label}{c}")
-        for c, x in points.items()
+        end(f"__x{i}").alias(f"{label}{i}")
+        for i, _ in axes
         for label, end in (("low", F.min), ("high", F.max))
     ]
-    box = df.agg(F.struct(*ends)).scalar()
-    staged = df.withColumns({**points, "__box": box})
+    staged = staged.withColumn("__box", staged.agg(F.struct(*ends)).scalar())
     staged = staged.withColumns(
-        {
-            name: value
-            for i, _ in axes
-            for name, value in _axis(F.col(f"__box.low__x{i}"), F.col(f"__box.high__x{i}"), step, i)
-        }
+        {name: value for i, _ in axes for name, value in _axis(i, step).items()}
     )
     staged = staged.withColumns({f"__guess{i}": _guess(i) for i, _ in axes})
     cells = staged.withColumns({bucket: _cell(i) for i, bucket in enumerate(buckets.values())})
     return cells.select(*[c for c in df.columns if c not in buckets.values()], *buckets.values())
 
 
-def _axis(low: Column, high: Column, step: float, i: int) -> list[tuple[str, Column]]:
+def _finite(value: str) -> Column:
+    """NaN and infinities are missing values: one bad row cannot stretch the grid."""
+    return F.when(F.abs(value) < F.lit(float("inf")), F.col(value))
+
+
+def _axis(i: int, step: float) -> dict[str, Column]:
+    low, high = F.col(f"__box.low{i}"), F.col(f"__box.high{i}")
     cells = F.ceil(((high + step) - low) / step) - 1
-    return [
-        (f"__low{i}", low),
-        (f"__width{i}", (low + step) - low),
-        (f"__last{i}", F.greatest(cells - 1, F.lit(0))),
-    ]
+    return {
+        f"__low{i}": low,
+        f"__width{i}": (low + step) - low,
+        f"__last{i}": F.greatest(cells - 1, F.lit(0)),
+    }
 
 
 def _guess(i: int) -> Column:
@@ -98,14 +95,17 @@ def grid_rate(
 ) -> DataFrame:
     """Mean flag and rows per cell; rows without a cell are left out.
 
-    They are told by their coordinates, a test that moves down to the scan.
-    The bounds still come from all rows.
+    They are left out after the aggregation, where they are few groups. A
+    filter before it would move down to the scan and compute every coordinate
+    twice.
     """
-    flagged = grid_buckets(df.withColumn("__flag", flag), buckets, step)
-    for point in buckets:
-        flagged = flagged.filter(_finite(flagged[point]).isNotNull())
-    return flagged.groupBy(*buckets.values()).agg(
-        F.avg("__flag").alias(name), F.count("*").alias(rows_name)
+    cells = list(buckets.values())
+    located = F.count_if(reduce(and_, [F.col(c).isNotNull() for c in cells]))
+    return (
+        grid_buckets(df.withColumn("__flag", flag), buckets, step)
+        .groupBy(*cells)
+        .agg(F.avg("__flag").alias(name), located.alias(rows_name))
+        .filter(F.col(rows_name) > 0)
     )
 
 

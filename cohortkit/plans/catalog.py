@@ -169,6 +169,8 @@ QUERIES: dict[str, Query] = {
     "lr_interests": _model(Analyses.interest_model, lambda run: run.scored),
     "lr_demo": _model(Analyses.demographic_model, lambda run: run.scored),
     "lr_all": _model(Analyses.full_model, lambda run: run.scored),
+    "lr_all_roc": _model(Analyses.full_model, ModelRun.roc),
+    "lr_all_confusion": _model(Analyses.full_model, ModelRun.confusion_wide),
     # evaluation
     "roc_points": _by_age(lambda df: op.roc_points(df, "score", "label")),
     "auc": _by_age(lambda df: op.auc(df, "score", "label")),

@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as contract
 
 TABLES = "/root/testdata/sf0.01"
-WITHOUT_SQL = {"lr_interests", "lr_demo", "lr_all"}
+SCORED = {"lr_interests", "lr_demo", "lr_all"}
+WITHOUT_SQL = SCORED | {"lr_all_roc", "lr_all_confusion"}
 
 # The same type under the names of the two engines.
 TYPE_NAMES = {
@@ -57,7 +58,7 @@ def test_same_rows(spark, engine, name):
     assert _bag(df.columns, df.collect()) == _bag(columns, rows)
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+@pytest.mark.parametrize("name", sorted(SCORED))
 def test_models_score_every_test_row(spark, name):
     scored = contract.queries()[name](spark, TABLES)
     assert scored.columns == ["person_id", "Voters_Turnout", "probability", "prediction"]
@@ -70,5 +71,17 @@ def test_models_score_every_test_row(spark, name):
     assert scored.filter("probability between 0 and 1").count() == scored.count() > 0
 
 
+def test_model_reports_cover_the_test_rows(spark):
+    rows = contract.queries()["model_features_all"](spark, TABLES)
+    test = contract.queries()["hash_split"](spark, TABLES).filter("part = 'test'")
+    expected = rows.join(test, "person_id", "left_semi").count()
+    wide = contract.queries()["lr_all_confusion"](spark, TABLES).collect()
+    assert sum(r["0.0"] + r["1.0"] for r in wide) == expected
+    curve = contract.queries()["lr_all_roc"](spark, TABLES).toPandas().sort_values(["fpr", "tpr"])
+    assert curve.iloc[0][["fpr", "tpr"]].tolist() == [0, 0]
+    assert curve.iloc[-1][["fpr", "tpr"]].tolist() == [1, 1]
+    assert curve["tpr"].is_monotonic_increasing
+
+
 def test_entry_returns_rows(spark):
     assert contract.entry(spark).count() > 0

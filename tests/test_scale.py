@@ -45,14 +45,14 @@ def test_no_nested_loops_and_no_python_rows(spark, name):
     assert not re.search("NestedLoop|CartesianProduct|EvalPython|MapInPandas", plan)
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - {"roc_points", "auc"}))
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - {"roc_points", "auc", "lr_all_roc"}))
 def test_one_task_only_receives_partial_aggregates(spark, name):
     plan = _plan(contract.queries()[name](spark, TABLES))
     for child in _parent_and_child(plan, "Exchange SinglePartition"):
         assert "Aggregate" in child and "partial_" in child
 
 
-@pytest.mark.parametrize("name", ["roc_points", "auc"])
+@pytest.mark.parametrize("name", ["roc_points", "auc", "lr_all_roc"])
 def test_roc_gathers_one_row_per_range(spark, name):
     plan = _plan(contract.queries()[name](spark, TABLES))
     for child in _parent_and_child(plan, "Exchange SinglePartition"):
