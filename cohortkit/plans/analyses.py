@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit import operators as op
 from cohortkit.functions import flag_equals, flag_translate, parse_money, to_float
 from cohortkit.operators.grid import DEFAULT_STEP
 from cohortkit.plans.layout import Layout
+from cohortkit.sources import cut_lineage
 
 _SPECIAL_AGE = 100
 _LABEL = "Voters_Turnout"
@@ -145,7 +146,7 @@ class Analyses:
 
     # --- turnout by attribute ---------------------------------------------
 
-    def _flag(self):
+    def _flag(self) -> Column:
         return flag_equals(self.df[self.at.voted])
 
     def _plain_ages(self) -> DataFrame:
@@ -233,8 +234,14 @@ class Analyses:
         return op.feature_table(typed, columns, _LABEL, at.key)
 
     def _run(self, rows: DataFrame) -> ModelRun:
-        """Split 80/20, by key where there is one, fit and score the rest."""
+        """Split 80/20, by key where there is one, fit and score the rest.
+
+        The complete rows are few narrow columns. They are stored once, so that
+        the fit, the scores and every report on them read those instead of the
+        whole table, and a split without a key cannot change between them.
+        """
         features = [c for c in rows.columns if c not in (self.at.key, _LABEL)]
-        train, test = op.hash_split(rows, self.at.key) if self.at.key else op.random_split(rows)
+        stored = cut_lineage(rows)
+        train, test = op.hash_split(stored, self.at.key) if self.at.key else op.random_split(stored)
         model = op.fit_logistic(train, features, _LABEL)
         return ModelRun(model, op.score(model, test, _LABEL, self.at.key))

@@ -14,6 +14,7 @@ from cohortkit.plans import PEOPLE, Analyses
 from cohortkit.sources import cut_lineage, keep, load, people
 
 TABLES = "/root/testdata/sf0.001"
+RANKED = {"roc_points", "auc", "lr_all_roc"}
 
 
 @contextmanager
@@ -33,30 +34,21 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def _parent_and_child(plan, node):
+def _children(plan, node):
     """The line under every occurrence of ``node`` in a plan text."""
     lines = plan.splitlines()
     return [lines[i + 1] for i, line in enumerate(lines) if node in line]
 
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_no_nested_loops_and_no_python_rows(spark, name):
+def test_no_nested_loops_no_python_rows_no_full_gather(spark, name):
+    """One task receives partial aggregates only, or one row per score range."""
     plan = _plan(contract.queries()[name](spark, TABLES))
     assert not re.search("NestedLoop|CartesianProduct|EvalPython|MapInPandas", plan)
-
-
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - {"roc_points", "auc", "lr_all_roc"}))
-def test_one_task_only_receives_partial_aggregates(spark, name):
-    plan = _plan(contract.queries()[name](spark, TABLES))
-    for child in _parent_and_child(plan, "Exchange SinglePartition"):
-        assert "Aggregate" in child and "partial_" in child
-
-
-@pytest.mark.parametrize("name", ["roc_points", "auc", "lr_all_roc"])
-def test_roc_gathers_one_row_per_range(spark, name):
-    plan = _plan(contract.queries()[name](spark, TABLES))
-    for child in _parent_and_child(plan, "Exchange SinglePartition"):
-        assert "HashAggregate(keys=[part#" in child or "partial_" in child
+    for child in _children(plan, "Exchange SinglePartition"):
+        partial = "Aggregate" in child and "partial_" in child
+        per_range = name in RANKED and "HashAggregate(keys=[part#" in child
+        assert partial or per_range
 
 
 def test_whole_people_table_is_pruned_to_the_columns_asked_for(spark):
