@@ -1,5 +1,8 @@
-"""DataFrame-to-DataFrame operators. All are lazy but ``fit_logistic``,
-``one_hot_grid``, ``roc_points`` and ``auc``, which run bounded jobs."""
+"""DataFrame-to-DataFrame operators.
+
+All are lazy but ``fit_logistic``, ``one_hot_grid``, ``roc_points`` and
+``auc``, which run jobs while they are built. No rows come to the driver.
+"""
 
 from cohortkit.operators.cohort import (
     cohort,

@@ -15,7 +15,8 @@ def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
 
     Rows are first counted per score, which removes any hot score. The
     distinct scores are then cut into ranges, highest first, and stored, so
-    that every later step sees the same ranges also after a retry. A running
+    that every later step sees the same ranges also after a retry, and stored
+    sorted, which makes the sort of the running sum a cheap merge. A running
     sum inside each range plus the sums of the ranges above it gives the
     whole running sum without sorting everything in one task. Only the one
     row per range (at most ``spark.sql.shuffle.partitions``) is gathered.
@@ -30,6 +31,7 @@ def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
     ranged = cut_lineage(
         counted.select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"))
         .repartitionByRange(F.desc("score"))
+        .sortWithinPartitions(F.desc("score"))
         .withColumn("part", F.spark_partition_id())
     )
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -27,7 +27,7 @@ def table(
     spark: SparkSession, directory: str, name: str, schema: str | None = None
 ) -> DataFrame:
     """One named table of a directory of Parquet tables."""
-    return load(spark, f"{directory.rstrip('/')}/{name}.parquet", schema=schema)
+    return load(spark, f"{str(directory).rstrip('/')}/{name}.parquet", schema=schema)
 
 
 def keep(df: DataFrame, columns: list[str]) -> DataFrame:
