@@ -15,12 +15,12 @@ def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
 
     Rows are first counted per score, which removes any hot score. The
     distinct scores are then cut into ranges, highest first, and stored, so
-    that every later step sees the same ranges also after a retry, and stored
-    sorted, which makes the sort of the running sum a cheap merge. A running
-    sum inside each range plus the sums of the ranges above it gives the
-    whole running sum without sorting everything in one task. Only the one
-    row per range (at most ``spark.sql.shuffle.partitions``) is gathered.
-    Rows without a score or a label have no place on the curve.
+    that every later step sees the same ranges also after a retry. They are
+    stored sorted, which makes the later sort a cheap merge. A running sum
+    inside each range plus the sums of the ranges above it gives the whole
+    running sum without sorting everything in one task. Only the one row per
+    range (at most ``spark.sql.shuffle.partitions``) is gathered. Rows
+    without a score (null or NaN) or a label have no place on the curve.
     """
     counted = (
         df.select(df[score].alias("score"), df[label].cast("int").alias("label"))
