@@ -47,11 +47,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     pass, and later steps read only the columns they need. The table stays
     until the folder is cleaned.
     """
-    path = f"{_shared_folder(df.sparkSession)}/cohortkit-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path that is not taken, in the cluster's shared folder."""
+    return f"{_shared_folder(spark)}/cohortkit-{uuid.uuid4().hex}"
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only where unset and local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
