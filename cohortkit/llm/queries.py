@@ -9,18 +9,34 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm.exact_dedup import exact_duplicates
 from cohortkit.llm.mixing import mix_sources
+from cohortkit.llm.packing import pack_documents
 from cohortkit.llm.sharding import shard_by_size
-from cohortkit.sources import table
+from cohortkit.llm.ship import ship
+from cohortkit.llm.token_files import read_token_files, token_digests, write_token_files
+from cohortkit.sources import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 40
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
+    ship(spark)
     return table(spark, directory, "documents")
 
 
+def op2_packing(spark: SparkSession, directory: str) -> DataFrame:
+    pieces = pack_documents(_documents(spark, directory), tokenizer_file("word_bpe_49k.json"), 2)
+    return pieces.drop("tokens")
+
+
 def op3_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
     return mix_sources(_documents(spark, directory), (5, 2, 1), 1.5, 2)
 
@@ -42,8 +58,15 @@ def op9_sharding(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
+    path = new_path(spark)
+    write_token_files(_documents(spark, directory), path, tokenizer_file("byte_bpe_50k.json"), 0)
+    digests = token_digests(read_token_files(spark, path))
+    return digests.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op3_mix_sources, op8_exact_dedup, op9_sharding)
+    q.__name__: q for q in (op2_packing, op3_mix_sources, op8_exact_dedup, op9_sharding, op10_token_files)
 }
 
 SQL: dict[str, str] = {
