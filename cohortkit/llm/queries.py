@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.llm.exact_dedup import exact_duplicates
+from cohortkit.llm.fingerprints import fingerprint_with_edits
 from cohortkit.llm.mixing import mix_sources
 from cohortkit.llm.packing import pack_documents
 from cohortkit.llm.sharding import shard_by_size
@@ -41,6 +42,10 @@ def op3_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
     return mix_sources(_documents(spark, directory), (5, 2, 1), 1.5, 2)
 
 
+def op7_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    return fingerprint_with_edits(_documents(spark, directory))
+
+
 def op8_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return exact_duplicates(_documents(spark, directory), keep="largest")
 
@@ -66,7 +71,7 @@ def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op2_packing, op3_mix_sources, op8_exact_dedup, op9_sharding, op10_token_files)
+    q.__name__: q for q in (op2_packing, op3_mix_sources, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
 }
 
 SQL: dict[str, str] = {
