@@ -14,6 +14,7 @@ from cohortkit.llm.packing import pack_documents
 from cohortkit.llm.sharding import shard_by_size
 from cohortkit.llm.ship import ship
 from cohortkit.llm.token_files import read_token_files, token_digests, write_token_files
+from cohortkit.llm.warc import page_records, read_warc, write_warc
 from cohortkit.sources import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,22 @@ def _documents(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "documents")
 
 
+def op1_warc(spark: SparkSession, directory: str) -> DataFrame:
+    ship(spark)
+    path = new_path(spark)
+    write_warc(page_records(table(spark, directory, "pages")), path)
+    columns = ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
+    pages = read_warc(spark, path, columns).filter(F.col("record_type").isin("response", "revisit"))
+    number = lambda c: F.try_to_number(F.substring_index(c, ":", -1), F.lit("9" * 19)).cast("bigint")
+    return pages.select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def op2_packing(spark: SparkSession, directory: str) -> DataFrame:
     pieces = pack_documents(_documents(spark, directory), tokenizer_file("word_bpe_49k.json"), 2)
     return pieces.drop("tokens")
@@ -71,10 +88,24 @@ def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op2_packing, op3_mix_sources, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
+    q.__name__: q for q in (op1_warc, op2_packing, op3_mix_sources, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
 }
 
 SQL: dict[str, str] = {
+    "op1_warc": """
+WITH t AS (
+  SELECT page_id, coalesce(html, '') AS payload, upper(sha1(coalesce(html, ''))) AS digits
+  FROM pages),
+ g AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS first FROM t)
+SELECT page_id, strlen(payload) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(digits, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT)
+          >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+""",
     "op8_exact_dedup": """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
