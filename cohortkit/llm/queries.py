@@ -14,6 +14,7 @@ from cohortkit.llm.packing import pack_documents
 from cohortkit.llm.sharding import shard_by_size
 from cohortkit.llm.ship import ship
 from cohortkit.llm.token_files import read_token_files, token_digests, write_token_files
+from cohortkit.llm.toxicity import fit_toxicity, fold, score_toxicity
 from cohortkit.llm.warc import page_records, read_warc, write_warc
 from cohortkit.sources import new_path, table
 
@@ -59,6 +60,14 @@ def op3_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
     return mix_sources(_documents(spark, directory), (5, 2, 1), 1.5, 2)
 
 
+def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _documents(spark, directory)
+    model = fit_toxicity(docs, table(spark, directory, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted"
+    )
+
+
 def op7_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     return fingerprint_with_edits(_documents(spark, directory))
 
@@ -88,7 +97,7 @@ def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_warc, op2_packing, op3_mix_sources, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
+    q.__name__: q for q in (op1_warc, op2_packing, op3_mix_sources, op5_toxicity, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
 }
 
 SQL: dict[str, str] = {
