@@ -18,7 +18,7 @@ STARTS = (4, 6)  # bytes of a word's beginning that have embeddings of their own
 WIDE = 8  # numbers of one embedding
 FILTERS = 8  # per width
 WIDTHS = (1, 2, 3)
-EPOCHS, STEPS = 8, 600  # passes over the sample, at least so many batches
+EPOCHS = 8
 BATCH = 32
 RATE = 0.1
 SAMPLE = 4000  # labelled rows to learn from, at most as many of either label as half
@@ -164,7 +164,7 @@ def train(words: Words, toxic: np.ndarray, check: np.ndarray, weight: np.ndarray
         return model
     balance = np.where(toxic, 0.5 / max(toxic[learn].mean(), 1e-9), 0.5 / max(1 - toxic[learn].mean(), 1e-9))
     memory = _Memory(model)
-    for _ in range(max(EPOCHS, STEPS * BATCH // len(learn))):
+    for _ in range(EPOCHS):
         order = random.permutation(learn)
         for k in range(0, len(order), BATCH):
             _step(model, memory, words, order[k : k + BATCH], toxic, balance)
