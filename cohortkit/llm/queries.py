@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm.exact_dedup import exact_duplicates
 from cohortkit.llm.fingerprints import fingerprint_with_edits
+from cohortkit.llm.jaccard_join import Likeness, near_duplicates
 from cohortkit.llm.mixing import mix_sources
 from cohortkit.llm.packing import pack_documents
 from cohortkit.llm.sharding import shard_by_size
@@ -68,6 +69,10 @@ def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    return near_duplicates(_documents(spark, directory), Likeness(4, 85, 100))
+
+
 def op7_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     return fingerprint_with_edits(_documents(spark, directory))
 
@@ -97,7 +102,7 @@ def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_warc, op2_packing, op3_mix_sources, op5_toxicity, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
+    q.__name__: q for q in (op1_warc, op2_packing, op3_mix_sources, op5_toxicity, op6_jaccard_join, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
 }
 
 SQL: dict[str, str] = {

@@ -111,10 +111,10 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray]:
         if high - low >= n:
             out.append(np.unique(joined[low : high - n + 1]))
         elif high > low:
-            short = np.uint64(high - low)
-            for word in words[low:high]:
-                short = mix(np.array([short * np.uint64(_FACTOR) + word], np.uint64))[0]
-            out.append(np.array([short], np.uint64))
+            short = np.array([high - low], np.uint64)
+            for k in range(low, high):
+                short = mix(short * np.uint64(_FACTOR) + words[k : k + 1])
+            out.append(short)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
