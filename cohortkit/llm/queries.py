@@ -12,6 +12,7 @@ from cohortkit.llm.fingerprints import fingerprint_with_edits
 from cohortkit.llm.jaccard_join import Likeness, near_duplicates
 from cohortkit.llm.mixing import mix_sources
 from cohortkit.llm.packing import pack_documents
+from cohortkit.llm.pii import KINDS, find_personal_data, spans_text
 from cohortkit.llm.sharding import shard_by_size
 from cohortkit.llm.ship import ship
 from cohortkit.llm.token_files import read_token_files, token_digests, write_token_files
@@ -61,6 +62,17 @@ def op3_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
     return mix_sources(_documents(spark, directory), (5, 2, 1), 1.5, 2)
 
 
+def op4_personal_data(spark: SparkSession, directory: str) -> DataFrame:
+    found = find_personal_data(_documents(spark, directory))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(spans_text("base"), 256).alias("base_sha256"),
+        spans_text("spans").alias("spans"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     docs = _documents(spark, directory)
     model = fit_toxicity(docs, table(spark, directory, "labels"))
@@ -102,7 +114,7 @@ def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_warc, op2_packing, op3_mix_sources, op5_toxicity, op6_jaccard_join, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
+    q.__name__: q for q in (op1_warc, op2_packing, op3_mix_sources, op4_personal_data, op5_toxicity, op6_jaccard_join, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
 }
 
 SQL: dict[str, str] = {
