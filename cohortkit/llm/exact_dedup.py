@@ -88,3 +88,18 @@ def exact_duplicates(
 
 def _digest(text: str):
     return F.unhex(F.sha2(text, 256)).alias("digest")
+
+
+def drop_exact_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest"
+) -> DataFrame:
+    """The documents, with all their columns, one of each group of equal texts.
+
+    Of rows that repeat both id and text one stays, whichever.
+    """
+    found = exact_duplicates(docs, id_column, text_column, keep).filter("kept")
+    name = lambda i, digest: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), digest)
+    kept = found.select(name(F.col(id_column), F.col("text_sha256")).alias("_name"))
+    digest = F.sha2(lower_ascii(whole(docs[text_column])), 256)
+    rows = docs.withColumn("_name", name(docs[id_column], digest))
+    return rows.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns)

@@ -44,8 +44,8 @@ def mix_sources(
     more than ``limit`` times. Sums are of whole numbers and choices are by
     hash of the id, so reruns agree.
 
-    Columns: the id, the source, ``size``, ``source_size``, ``target``,
-    ``taken``. A null text has size 0; documents without words are taken 0
+    Columns: the id, ``row`` (a hash of id, source and text), the source,
+    ``size``, ``source_size``, ``target``, ``taken``. A null text has size 0; documents without words are taken 0
     words. Repeated rows are separate documents. No rows give no rows; other
     columns are not read.
     """
@@ -54,6 +54,7 @@ def mix_sources(
     rows = cut_lineage(
         docs.select(
             docs[id_column].alias("id"),
+            row_hash(docs, id_column, text_column, source_column).alias("row"),
             docs[source_column].alias("source"),
             key.alias("key"),
             word_count(whole(docs[text_column])).alias("size"),
@@ -66,7 +67,7 @@ def mix_sources(
     rates = _solve(classes.filter("size > 0"), sources, limit)
     copies = _copies(classes, rates, limit)
     rank = F.row_number().over(
-        Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("id", F.lit(1)), "id")
+        Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("id", F.lit(1)), "id", "row")
     )
     before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(
         Window.unboundedPreceding, -1
@@ -88,6 +89,7 @@ def mix_sources(
         .join(quotas, ["key", "size", "salt"])
         .select(
             F.col("id").alias(id_column),
+            "row",
             F.col("source").alias(source_column),
             "size",
             "source_size",
@@ -97,6 +99,45 @@ def mix_sources(
     )
 
 
+def row_hash(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> Column:
+    return F.xxhash64(docs[id_column], docs[source_column], whole(docs[text_column]))
+
+
+def take(
+    docs: DataFrame,
+    mixed: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    length_column: str = "n_chars",
+) -> DataFrame:
+    """The documents as often as the mix takes them; a part is a row with the first words.
+
+    Rows that repeat id, source and text count together. ``length_column``, if
+    there is one, follows the text of a part.
+    """
+    taken = mixed.groupBy(F.col("row").alias("_row")).agg(
+        F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")))).alias("_copies"),
+        F.sum(F.when(F.col("size") > 0, F.col("taken") % F.col("size"))).alias("_part"),
+    )
+    rows = docs.withColumn("_row", row_hash(docs, id_column, text_column, source_column))
+    every = F.col("_copies") + F.when(F.col("_part") > 0, 1).otherwise(0)
+    repeated = (
+        rows.dropDuplicates(["_row"])
+        .join(taken, "_row")
+        .filter(every > 0)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), every)))
+    )
+    partly = F.col("_copy") > F.col("_copies")
+    words = F.regexp_extract_all(F.col(text_column), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")
+    out = repeated.withColumn(text_column, F.when(partly, cut).otherwise(F.col(text_column)))
+    if length_column in docs.columns:
+        length = F.when(partly, F.length(text_column)).otherwise(F.col(length_column))
+        out = out.withColumn(length_column, length.cast(docs.schema[length_column].dataType))
+    return out.select(*docs.columns)
+
+
 def source_targets(
     classes: DataFrame, weights: Sequence[float], share: float, limit: float
 ) -> DataFrame:

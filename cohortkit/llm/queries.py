@@ -59,7 +59,7 @@ def op2_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
-    return mix_sources(_documents(spark, directory), (5, 2, 1), 1.5, 2)
+    return mix_sources(_documents(spark, directory), (5, 2, 1), 1.5, 2).drop("row")
 
 
 def op4_personal_data(spark: SparkSession, directory: str) -> DataFrame:
@@ -82,7 +82,8 @@ def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
-    return near_duplicates(_documents(spark, directory), Likeness(4, 85, 100))
+    found = near_duplicates(_documents(spark, directory), Likeness(4, 85, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_fingerprints(spark: SparkSession, directory: str) -> DataFrame:

@@ -314,6 +314,32 @@ def fit_toxicity(
     return train(words_of(*texts(column)), toxic, check, weight)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The documents, with all their columns, that score below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n = len(docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [scores < 0.5 for _, scores in _scored(batch.column(n), shared.value)]
+            if clean:
+                rows = batch.filter(pa.array(np.concatenate(clean)))
+                yield pa.RecordBatch.from_arrays(rows.columns[:n], names=batch.schema.names[:n])
+
+    text = "text_to_score" + "_" * n  # longer than any name that could clash by chance
+    return docs.withColumn(text, whole(docs[text_column])).mapInArrow(keep, docs.schema)
+
+
+def _scored(column: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray]]:
+    """The first row of a part of bounded size, and the part's scores."""
+    data, offsets = texts(column)
+    row = 0
+    while row < len(column):
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART, "right")) - 1)
+        yield row, model.scores(words_of(data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]))
+        row = to
+
+
 def score_toxicity(
     docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -328,18 +354,12 @@ def score_toxicity(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts(batch.column(1))
-            row = 0
-            while row < batch.num_rows:
-                to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART, "right")) - 1)
-                some, at = data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
-                scores = shared.value.scores(words_of(some, at))
+            for row, scores in _scored(batch.column(1), shared.value):
                 predicted = pa.array((scores >= 0.5).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, to - row), pa.array(scores), predicted],
+                    [batch.column(0).slice(row, len(scores)), pa.array(scores), predicted],
                     ["id", "score", "predicted"],
                 )
-                row = to
 
     id_type = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("id"), whole(docs[text_column]).alias("text"))
