@@ -132,6 +132,34 @@ SELECT page_id, strlen(payload) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM g
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+ s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+    WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2),
+                        lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
+  FROM t),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+ l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+ reach AS (
+  SELECT doc_id, doc_id AS other FROM t
+  UNION
+  SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.other)
+SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id
+FROM t JOIN reach ON reach.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id
+GROUP BY t.doc_id
 """,
     "op8_exact_dedup": """
 WITH t AS (
