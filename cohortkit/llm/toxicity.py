@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.spans import LOWER, hashes, runs, texts
+from cohortkit.llm.spans import LOWER, SPACE, hashes, runs, texts
 from cohortkit.llm.text import whole
 
 WORD_BITS, START_BITS = 18, 16  # rows of the embedding tables, as powers of two
@@ -22,8 +22,9 @@ EPOCHS = 8
 BATCH = 32
 RATE = 0.1
 SAMPLE = 4000  # labelled rows to learn from, at most as many of either label as half
-LONGEST = 200_000  # characters of a text to learn from; scores are of any length
-PART = 1 << 21  # bytes of text scored at once
+LONGEST = 50_000  # characters of a text to learn from; scores are of any length
+PART = 1 << 21  # bytes of text read at once
+CHUNK = 1 << 16  # words scored at once
 FOLDS = 5
 
 # Common words that tell a text's language, for its threshold: fixed values.
@@ -50,7 +51,7 @@ class Words:
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Letters and digits in a row, without case, whole and by their beginnings."""
-    low = LOWER[data]
+    low = LOWER[data]  # a copy
     upper = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
     low[1:][upper] += 0x20  # U+00C0 to U+00DE
     starts, ends, first = runs(_WORD[low], offsets)
@@ -62,6 +63,43 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(np.stack(places, axis=1).astype(np.int32), first, whole_word)
 
 
+def _last(first: np.ndarray) -> np.ndarray:
+    """Which words end a text."""
+    last = np.zeros(first[-1], bool)
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    return last
+
+
+def all_words(column: pa.Array) -> Iterator[tuple[int, Words]]:
+    """Parts of a column: the first row, and the words; a long text is cut at white space to read it."""
+    data, offsets = texts(column)
+    row = 0
+    while row < len(column):
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART, "right")) - 1)
+        low, high = offsets[row], offsets[to]
+        if to > row + 1 or high - low <= PART:
+            yield row, words_of(data[low:high], offsets[row : to + 1] - low)
+        else:
+            gaps = low + np.flatnonzero(SPACE[data[low:high]])
+            cuts = [low, *np.unique(gaps[np.searchsorted(gaps, np.arange(low + PART, high, PART)) - 1]), high]
+            parts = [words_of(data[a:b], np.array([0, b - a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield row, together(parts, one=True)
+        row = to
+
+
+def together(parts: list[Words], one: bool = False) -> Words:
+    """Words of several parts; as those of ``one`` text, or of all their texts."""
+    sizes = [len(p.hash) for p in parts]
+    total = sum(sizes)
+    starts = np.cumsum([0, *sizes[:-1]])
+    first = [p.first[:-1] + s for p, s in zip(parts, starts, strict=True)]
+    return Words(
+        np.concatenate([np.zeros((0, 1 + len(STARTS)), np.int32), *(p.places for p in parts)]),
+        np.array([0, total]) if one else np.concatenate([*first, [total]]).astype(np.int64),
+        np.concatenate([np.zeros(0, np.uint64), *(p.hash for p in parts)]),
+    )
+
+
 @dataclass
 class Model:
     """Embeddings, filters and the last layer; thresholds by language, as logits."""
@@ -89,12 +127,10 @@ class Model:
     def embed(self, places: np.ndarray) -> np.ndarray:
         return np.concatenate([t[places[:, k]] for k, t in enumerate(self.tables)], axis=1)
 
-    def responses(self, embedded: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Per width the filters' sums at each word; windows end with their text."""
+    def responses(self, embedded: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Per width the filters' sums at each word; windows end with the ``last`` of a text."""
         moved = embedded @ self.filters
         out, step = [], 0
-        last = np.zeros(len(embedded), bool)
-        last[first[1:][np.diff(first) > 0] - 1] = True
         for width in WIDTHS:
             total = moved[:, step * FILTERS : (step + 1) * FILTERS].copy()
             blocked = last.copy()
@@ -107,12 +143,20 @@ class Model:
         return out
 
     def logits(self, words: Words) -> np.ndarray:
-        pooled = np.zeros((len(words.first) - 1, len(self.bias)), np.float32)
-        some = np.flatnonzero(np.diff(words.first) > 0)
-        if len(some):
-            found = self.responses(self.embed(words.places), words.first)
-            at = words.first[some]
-            pooled[some] = np.concatenate([np.maximum.reduceat(r, at) for r in found], axis=1)
+        """A number per text, from so many words at a time that memory is bounded."""
+        first, total = words.first, int(words.first[-1])
+        pooled = np.full((len(first) - 1, len(self.bias)), -np.inf, np.float32)
+        last = _last(first)
+        for low in range(0, total, CHUNK):
+            high = min(low + CHUNK, total)
+            more = min(high + max(WIDTHS) - 1, total)
+            found = self.responses(self.embed(words.places[low:more]), last[low:more])
+            some = np.arange(np.searchsorted(first, low, "right") - 1, np.searchsorted(first, high))
+            some = some[first[some] < first[some + 1]]
+            at = np.maximum(first[some] - low, 0)
+            best = [np.maximum.reduceat(r[: high - low], at) for r in found]
+            pooled[some] = np.maximum(pooled[some], np.concatenate(best, axis=1))
+        pooled[np.diff(first) == 0] = 0
         return np.maximum(pooled + self.bias, 0) @ self.out + self.out_bias
 
     def scores(self, words: Words) -> np.ndarray:
@@ -189,7 +233,7 @@ def _step(model: Model, memory: _Memory, words: Words, batch, toxic, balance) ->
     first = np.concatenate([[0], np.cumsum(lengths)])
     places = words.places[rows]
     embedded = model.embed(places)
-    found = model.responses(embedded, first)
+    found = model.responses(embedded, _last(first))
     best = np.full((len(batch), len(model.bias)), -1)
     pooled = np.zeros((len(batch), len(model.bias)), np.float32)
     for k in np.flatnonzero(lengths):
@@ -311,7 +355,7 @@ def fit_toxicity(
     share = {k: counts.get(k, 0) / max(1, (toxic == k).sum()) for k in (0, 1)}
     weight = np.where(toxic, share[1], share[0])
     column = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    return train(words_of(*texts(column)), toxic, check, weight)
+    return train(together([w for _, w in all_words(column)]), toxic, check, weight)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -321,7 +365,7 @@ def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> Data
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [scores < 0.5 for _, scores in _scored(batch.column(n), shared.value)]
+            clean = [shared.value.scores(words) < 0.5 for _, words in all_words(batch.column(n))]
             if clean:
                 rows = batch.filter(pa.array(np.concatenate(clean)))
                 yield pa.RecordBatch.from_arrays(rows.columns[:n], names=batch.schema.names[:n])
@@ -330,16 +374,6 @@ def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> Data
     return docs.withColumn(text, whole(docs[text_column])).mapInArrow(keep, docs.schema)
 
 
-def _scored(column: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray]]:
-    """The first row of a part of bounded size, and the part's scores."""
-    data, offsets = texts(column)
-    row = 0
-    while row < len(column):
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PART, "right")) - 1)
-        yield row, model.scores(words_of(data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]))
-        row = to
-
-
 def score_toxicity(
     docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -354,7 +388,8 @@ def score_toxicity(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, scores in _scored(batch.column(1), shared.value):
+            for row, words in all_words(batch.column(1)):
+                scores = shared.value.scores(words)
                 predicted = pa.array((scores >= 0.5).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(scores)), pa.array(scores), predicted],
