@@ -91,7 +91,7 @@ def together(parts: list[Words], one: bool = False) -> Words:
     """Words of several parts; as those of ``one`` text, or of all their texts."""
     sizes = [len(p.hash) for p in parts]
     total = sum(sizes)
-    starts = np.cumsum([0, *sizes[:-1]])
+    starts = np.cumsum([0, *sizes])[:-1]
     first = [p.first[:-1] + s for p, s in zip(parts, starts, strict=True)]
     return Words(
         np.concatenate([np.zeros((0, 1 + len(STARTS)), np.int32), *(p.places for p in parts)]),

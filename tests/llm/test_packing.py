@@ -1,0 +1,68 @@
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from cohortkit.llm import packing
+from cohortkit.llm.queries import tokenizer_file
+from tests.llm.conftest import odd_rows
+
+TOKENIZER = tokenizer_file("word_bpe_49k.json")
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40))
+def test_tree_finds_the_first_fit(sizes):
+    plain, room = [], []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        k = next((k for k, r in enumerate(room) if r >= sizes[i]), len(room))
+        if k == len(room):
+            plain.append([])
+            room.append(20)
+        plain[k].append(i)
+        room[k] -= sizes[i]
+    assert packing.first_fit_decreasing(sizes, 20) == plain
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 16), max_size=40))
+def test_every_id_once_and_no_padding(sizes):
+    out = packing.pack(sizes, 16)
+    for sequence in out:
+        total = sum(n for _, _, n in sequence)
+        assert total <= 16 and total & (total - 1) == 0
+    ids = sorted((d, k) for s in out for d, start, n in s for k in range(start, start + n))
+    assert ids == [(d, k) for d, n in enumerate(sizes) for k in range(n)]
+
+
+@pytest.mark.parametrize("group", [2, 4096])
+def test_round_trip_of_odd_documents(odd, group):
+    library = Tokenizer.from_file(TOKENIZER)
+    library.encode_special_tokens = True
+    expected = sorted(
+        (r[0] is not None, r[0] or 0, library.encode(r[1] or "", add_special_tokens=False).ids + [2])
+        for r in odd_rows()
+    )
+    rows = packing.pack_documents(odd, TOKENIZER, 2, 64, group).collect()
+    sequences = {}
+    for r in rows:
+        assert len(r["tokens"]) == r["length"] > 0
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["tokens"], "<u4").tobytes())
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end == 64 or end & (end - 1) == 0
+    # Documents may share an id: compare all pieces of an id.
+    pieces = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, t) for r in rows for t in r["tokens"]))
+    assert pieces == sorted((known, d, t) for known, d, ids in expected for t in ids)
+    assert sum(r["start"] == 0 for r in rows) == len(expected)
+
+
+def test_nothing_to_pack(nothing):
+    assert packing.pack_documents(nothing, TOKENIZER, 2).collect() == []
