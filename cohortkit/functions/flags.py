@@ -13,6 +13,8 @@ def flag_translate(text: Column, yes: str = "Y", no: str = "N") -> Column:
 
     Other text becomes NULL, so it leaves averages; ``YN`` becomes 10.
     """
+    if len(yes) != 1 or len(no) != 1 or yes == no:
+        raise ValueError(f"yes and no must be two different characters, not {yes!r} and {no!r}")
     return to_int(F.translate(F.coalesce(text, F.lit(no)), yes + no, "10"))
 
 

@@ -19,7 +19,7 @@ def parse_money(text: Column, mode: str = "strip_all") -> Column:
     if mode == "strip_dollar":
         return to_int(_without(text, "$"))
     if mode == "substr":
-        return to_int(text.substr(2, 100))
+        return to_int(F.substr(text, F.lit(2)))
     raise ValueError(f"mode must be one of {MONEY_MODES}, not {mode!r}")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cohortkit.functions import flag_equals, hash_bucket, to_int
 
-_SAMPLE_BUCKETS = 1_000_000
+_SAMPLE_DIGITS = 15  # hex digits of the hash, 60 bits
 
 
 def int_column(df: DataFrame, name: str) -> Column:
@@ -72,10 +72,14 @@ def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     """A repeatable sample chosen by a hash of ``key``.
 
     Uses other digits of the hash than ``hash_split``, so a sample can be
-    split again without bias.
+    split again without bias. Rows without a key are in or out together.
     """
-    limit = round(fraction * _SAMPLE_BUCKETS)
-    return df.filter(hash_bucket(df[key], _SAMPLE_BUCKETS, offset=9) < limit)
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"fraction must be from 0 to 1, not {fraction}")
+    buckets = 16**_SAMPLE_DIGITS
+    return df.filter(
+        hash_bucket(df[key], buckets, offset=9, digits=_SAMPLE_DIGITS) < round(fraction * buckets)
+    )
 
 
 def random_sample(df: DataFrame, fraction: float = 0.01, seed: int = 42) -> DataFrame:
@@ -90,7 +94,10 @@ def _part(df: DataFrame, key: str, train_percent: int) -> Column:
 def tag_split(
     df: DataFrame, key: str, train_percent: int = 80, name: str = "part"
 ) -> DataFrame:
-    """The rows with ``train`` or ``test`` by a hash of ``key``, in one pass."""
+    """The rows with ``train`` or ``test`` by a hash of ``key``, in one pass.
+
+    Rows without a key hash alike, so all of them are in one part.
+    """
     return df.withColumn(name, _part(df, key, train_percent))
 
 

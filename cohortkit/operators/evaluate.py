@@ -20,17 +20,21 @@ def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
     inside each range plus the sums of the ranges above it gives the whole
     running sum without sorting everything in one task. Only the one row per
     range (at most ``spark.sql.shuffle.partitions``) is gathered. Rows
-    without a score (null or NaN) or a label have no place on the curve.
+    without a score (null or NaN) and rows whose label is not 0 or 1 have no
+    place on the curve.
     """
     counted = (
-        df.select(df[score].alias("score"), df[label].cast("int").alias("label"))
+        df.select(df[score].alias("score"), df[label].alias("label"))
         .na.drop()
+        .filter(F.col("label").isin(0, 1))
         .groupBy("score")
-        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("n"))
+        .agg(
+            F.count_if(F.col("label") == 1).alias("pos"),
+            F.count_if(F.col("label") == 0).alias("neg"),
+        )
     )
     ranged = cut_lineage(
-        counted.select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"))
-        .repartitionByRange(F.desc("score"))
+        counted.repartitionByRange(F.desc("score"))
         .sortWithinPartitions(F.desc("score"))
         .withColumn("part", F.spark_partition_id())
     )
@@ -103,47 +107,49 @@ def confusion_long(df: DataFrame, label: str, prediction: str, name: str = "n")
 
 
 def pivot_counts(
-    df: DataFrame, rows: str, columns: str, values: Sequence[object] = (0.0, 1.0)
+    df: DataFrame,
+    rows: str,
+    columns: str,
+    values: Sequence[object] = (0.0, 1.0),
+    other: str = "other",
 ) -> DataFrame:
     """Rows per value of ``rows``, one count column per value of ``columns``.
 
     The values are given, so a class that never occurs is a column of zeros,
-    and the pivot is a single aggregation.
+    and the pivot is a single aggregation. Rows with another value or none
+    are counted in the column ``other``.
     """
+    named = F.coalesce(df[columns].isin(*values), F.lit(False))
     return df.groupBy(rows).agg(
-        *[F.count_if(df[columns] == value).alias(str(value)) for value in values]
+        *[F.count_if(df[columns] == value).alias(str(value)) for value in values],
+        F.count_if(~named).alias(other),
     )
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlation_matrix(
+    df: DataFrame, columns: Sequence[str], collapse: bool = False
+) -> DataFrame:
     """Pearson ``(a, b, r)`` for all pairs, over the rows complete in ``columns``.
 
-    Equal rows are counted into one weighted row, then means and centred
-    products are summed; both passes read the same shuffle. ``r`` is NULL
-    where a column is constant.
+    One aggregation, one row per task. With ``collapse``, for columns of few
+    values such as flags, equal rows are first counted into one weighted row,
+    then means and centred products are summed; both passes read the same
+    shuffle. ``r`` is NULL where a column is constant. For tens of columns:
+    the plan has a sum for each pair.
     """
     names = list(columns)
     short = [f"c{i}" for i in range(len(names))]
-    rows = (
-        df.select(*[df[name].alias(c) for name, c in zip(names, short)])
-        .na.drop()
-        .groupBy(*short)
-        .agg(F.count("*").cast("double").alias("w"))
-        .withColumns({c: F.col(c).cast("double") for c in short})
-    )
-    weighted = [F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w")).alias(c) for c in short]
-    means = rows.agg(F.struct(*weighted)).scalar()
-    centred = rows.withColumn("mean", means).withColumns(
-        {f"d_{c}": F.col(c) - F.col(f"mean.{c}") for c in short}
-    )
+    complete = df.select(*[df[name].alias(c) for name, c in zip(names, short)]).na.drop()
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = centred.agg(
-        *[
-            F.sum(F.col("w") * F.col(f"d_c{i}") * F.col(f"d_c{j}")).alias(f"s{i}_{j}")
+    varies = [(F.min(c) < F.max(c)).alias(f"varies_{c}") for c in short]
+    if collapse:
+        sums = _weighted_products(complete, short, pairs, varies)
+    else:
+        products = [
+            F.covar_pop(F.col(f"c{i}").cast("double"), F.col(f"c{j}").cast("double")).alias(f"s{i}_{j}")
             for i, j in pairs
-        ],
-        *[(F.min(c) < F.max(c)).alias(f"varies_{c}") for c in short],
-    )
+        ]
+        sums = complete.agg(*products, *varies)
 
     def r(i: int, j: int) -> Column:
         low, high = min(i, j), max(i, j)
@@ -157,3 +163,26 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for j, b in enumerate(names)
     ]
     return sums.select(F.inline(F.array(*cells)))
+
+
+def _weighted_products(
+    complete: DataFrame, short: list[str], pairs: list[tuple[int, int]], varies: list[Column]
+) -> DataFrame:
+    """One row of centred products, from equal rows counted into one."""
+    rows = (
+        complete.groupBy(*short)
+        .agg(F.count("*").cast("double").alias("w"))
+        .withColumns({c: F.col(c).cast("double") for c in short})
+    )
+    weighted = [F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w")).alias(c) for c in short]
+    means = rows.agg(F.struct(*weighted)).scalar()
+    centred = rows.withColumn("mean", means).withColumns(
+        {f"d_{c}": F.col(c) - F.col(f"mean.{c}") for c in short}
+    )
+    return centred.agg(
+        *[
+            F.sum(F.col("w") * F.col(f"d_c{i}") * F.col(f"d_c{j}")).alias(f"s{i}_{j}")
+            for i, j in pairs
+        ],
+        *varies,
+    )

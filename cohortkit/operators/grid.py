@@ -14,10 +14,10 @@ DEFAULT_STEP = 0.05
 
 
 def bounding_box(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: ``min_<column>`` and ``max_<column>`` of each column."""
+    """One row: ``min_<column>`` and ``max_<column>`` of each column's finite numbers."""
     return df.agg(
         *[
-            end(df[c]).alias(f"{label}_{c}")
+            end(_finite(c)).alias(f"{label}_{c}")
             for c in columns
             for label, end in (("min", F.min), ("max", F.max))
         ]

@@ -46,10 +46,17 @@ def fit_logistic(
 
 
 def score(
-    model: PipelineModel, df: DataFrame, label: str, key: str | None = None
+    model: PipelineModel,
+    df: DataFrame,
+    label: str,
+    key: str | None = None,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """``(key, label, probability, prediction)`` with the probability of 1."""
-    carried = [key] if key else []
+    """``(key, label, probability, prediction)`` with the probability of 1.
+
+    ``carried`` columns come along.
+    """
+    carried = [*([key] if key else []), *carried]
     return model.transform(df).select(
         *carried,
         label,

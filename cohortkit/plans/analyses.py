@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from cohortkit import operators as op
 from cohortkit.functions import flag_equals, flag_translate, parse_money, to_float
 from cohortkit.operators.grid import DEFAULT_STEP
 from cohortkit.plans.layout import Layout
-from cohortkit.sources import cut_lineage
+from cohortkit.sources import cut_lineage, discard
 
 _SPECIAL_AGE = 100
 _LABEL = "Voters_Turnout"
@@ -21,10 +21,39 @@ _GRID = {"Longitude": "long_bucket", "Latitude": "lat_bucket"}
 
 @dataclass(frozen=True)
 class ModelRun:
-    """A fitted model and the scored test rows."""
+    """A fitted model, the rows it learned from and the scored test rows.
+
+    All read the run's one stored table, which ``close`` deletes.
+    """
 
     model: PipelineModel
+    train: DataFrame
     scored: DataFrame
+    features: tuple[str, ...]
+    stored: DataFrame
+
+    def close(self) -> None:
+        discard(self.stored)
+
+    def score_equations(self) -> DataFrame:
+        """Per feature and for the intercept (``feature``, ``n_train``, ``value``).
+
+        ``value`` is the sum of probability times feature over the sum of the
+        feature. At the maximum of the likelihood it is what the label gives
+        in place of the probability.
+        """
+        fitted = op.score(self.model, self.train, _LABEL, carried=self.features)
+        p = F.col("probability")
+        sums = [F.try_divide(F.sum(p * F.col(f)), F.sum(f)) for f in self.features]
+        names = [*self.features, "intercept"]
+        values = [*sums, F.avg(p)]
+        each = F.array(*(F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in zip(names, values, strict=True)))
+        one = fitted.agg(F.count("*").alias("n_train"), each.alias("each"))
+        return one.select("n_train", F.inline("each"))
+
+    def test_labels(self) -> DataFrame:
+        """Test rows per label."""
+        return self.scored.groupBy(_LABEL).agg(F.count("*").alias("n"))
 
     def auc(self) -> DataFrame:
         return op.auc(self.scored, "probability", _LABEL)
@@ -39,7 +68,7 @@ class ModelRun:
         return op.pivot_counts(self.scored, _LABEL, "prediction")
 
     def sample(self, n: int = 10) -> DataFrame:
-        """The first ``n`` predictions, in order of the row key if there is one."""
+        """The first ``n`` predictions by row key; the ``n`` least probable without one."""
         keys = [c for c in self.scored.columns if c not in (_LABEL, "probability", "prediction")]
         return op.first_rows(self.scored, keys or ["probability"], n)
 
@@ -58,6 +87,14 @@ class Analyses:
 
     # --- groups -----------------------------------------------------------
 
+    def ages(self, low: int = 18, high: int = 30) -> Analyses:
+        """The same analyses over an inclusive age range, in all counties."""
+        return Analyses(op.cohort(self.df, None, {self.at.age: (low, high)}), self.at)
+
+    def with_key(self, key: str) -> Analyses:
+        """The same analyses with a row key, for splits that can be repeated."""
+        return Analyses(self.df, replace(self.at, key=key))
+
     def group_details(self) -> DataFrame:
         return op.distinct_values(self.df, self.at.group_detail)
 
@@ -181,7 +218,7 @@ class Analyses:
         ).orderBy(*keys)
 
     def age_by_group(self) -> DataFrame:
-        age = op.int_column(self.df, self.at.age)
+        age = self.df[self.at.age].try_cast("double")
         return op.mean_by(self.df, self.at.group_detail, age, "Average_Age").orderBy(
             "Average_Age", self.at.group_detail
         )
@@ -204,7 +241,8 @@ class Analyses:
         return self._features([*self.at.model_interests, *self._demographics()])
 
     def interest_model(self) -> ModelRun:
-        return self._run(self.interest_features())
+        """Flags only: equal rows are counted before the fit."""
+        return self._run(self.interest_features(), collapse=True)
 
     def demographic_model(self) -> ModelRun:
         return self._run(self.demographic_features())
@@ -214,7 +252,7 @@ class Analyses:
 
     def interest_correlations(self) -> DataFrame:
         features = self.interest_features()
-        return op.correlation_matrix(features, [*self.at.model_interests, _LABEL])
+        return op.correlation_matrix(features, [*self.at.model_interests, _LABEL], collapse=True)
 
     def _demographics(self) -> list[str]:
         return [self.at.age, self.at.gender, self.at.income_amount]
@@ -233,7 +271,7 @@ class Analyses:
         )
         return op.feature_table(typed, columns, _LABEL, at.key)
 
-    def _run(self, rows: DataFrame) -> ModelRun:
+    def _run(self, rows: DataFrame, collapse: bool = False) -> ModelRun:
         """Split 80/20, by key where there is one, fit and score the rest.
 
         The complete rows are few narrow columns. They are stored once, so that
@@ -243,5 +281,6 @@ class Analyses:
         features = [c for c in rows.columns if c not in (self.at.key, _LABEL)]
         stored = cut_lineage(rows)
         train, test = op.hash_split(stored, self.at.key) if self.at.key else op.random_split(stored)
-        model = op.fit_logistic(train, features, _LABEL)
-        return ModelRun(model, op.score(model, test, _LABEL, self.at.key))
+        model = op.fit_logistic(train, features, _LABEL, collapse)
+        scored = op.score(model, test, _LABEL, self.at.key)
+        return ModelRun(model, train, scored, tuple(features), stored)

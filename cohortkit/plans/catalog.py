@@ -106,6 +106,28 @@ def _one_hot(df: DataFrame) -> DataFrame:
     )
 
 
+def _check(run: ModelRun) -> DataFrame:
+    """The score equations at the three digits to which the fit meets them."""
+    return run.score_equations().withColumn("value", F.round("value", 3))
+
+
+def _sample(run: ModelRun) -> DataFrame:
+    return run.sample().select("person_id", "Voters_Turnout")
+
+
+MODELS = {
+    "lr_interests": Analyses.interest_model,
+    "lr_demo": Analyses.demographic_model,
+    "lr_all": Analyses.full_model,
+}
+REPORTS: dict[str, Callable[[ModelRun], DataFrame]] = {
+    "check": _check,
+    "auc": ModelRun.auc,
+    "confusion_long": ModelRun.confusion,
+    "test_labels": ModelRun.test_labels,
+    "sample": _sample,
+}
+
 QUERIES: dict[str, Query] = {
     # sources and cleaning
     "row_count": _on_people(op.row_count),
@@ -169,6 +191,13 @@ QUERIES: dict[str, Query] = {
     "lr_interests": _model(Analyses.interest_model, lambda run: run.scored),
     "lr_demo": _model(Analyses.demographic_model, lambda run: run.scored),
     "lr_all": _model(Analyses.full_model, lambda run: run.scored),
+    **{
+        f"{name}_{report}": _model(run, view)
+        for name, run in MODELS.items()
+        for report, view in REPORTS.items()
+    },
+    "young_lr_interests_check": _analysis(lambda a: _check(a.ages().interest_model())),
+    "young_correlation_matrix": _analysis(lambda a: a.ages().interest_correlations()),
     "lr_all_roc": _model(Analyses.full_model, ModelRun.roc),
     "lr_all_confusion": _model(Analyses.full_model, ModelRun.confusion_wide),
     # evaluation

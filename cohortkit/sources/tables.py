@@ -57,13 +57,31 @@ def new_path(spark: SparkSession) -> str:
     return f"{_shared_folder(spark)}/cohortkit-{uuid.uuid4().hex}"
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``cut_lineage`` wrote for ``df``; it can't be read afterwards."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("cohortkit-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _machine_local(folder: str) -> bool:
+    """Whether a folder is below this machine's own temporary one."""
+    path = folder.removeprefix("file://").removeprefix("file:")
+    own = tempfile.gettempdir().rstrip("/")
+    return path.startswith("/") and f"{path}/".startswith(f"{own}/")
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only where unset and local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = named or spark.sparkContext.getCheckpointDir()
-    if folder is not None:
+    local = spark.sparkContext.master.startswith("local")
+    if folder is not None and (local or not _machine_local(folder)):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortkit-"))
     return spark.sparkContext.getCheckpointDir()

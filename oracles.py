@@ -27,15 +27,20 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 E1 = "TRY_CAST(translate(translate(coalesce(voted, 'N'), 'Y', '1'), 'N', '0') AS INTEGER)"
 E2 = "CASE WHEN voted = 'Y' THEN 1 ELSE 0 END"
 AGE = "TRY_CAST(age AS INTEGER)"
+AGE_AS_READ = "TRY_CAST(age AS DOUBLE)"
 STRIP_DOLLAR = "TRY_CAST(regexp_replace({0}, '\\$', '', 'g') AS INTEGER)"
 STRIP_ALL = "TRY_CAST(regexp_replace(income_amount, '[$,]', '', 'g') AS INTEGER)"
-SUBSTR = "TRY_CAST(substr(income_amount, 2, 100) AS INTEGER)"
+SUBSTR = "TRY_CAST(substr(income_amount, 2) AS INTEGER)"
 FLAG_A = "CASE WHEN interest_a = 'Yes' THEN 1 ELSE 0 END"
 FLAG_B = "CASE WHEN interest_b = 'Yes' THEN 1 ELSE 0 END"
 FLAG_C = "CASE WHEN interest_c = 'Yes' THEN 1 ELSE 0 END"
 FLAG_M = "CASE WHEN gender = 'M' THEN 1 ELSE 0 END"
 HASH = "CAST('0x' || substr(md5(CAST(person_id AS VARCHAR)), {0}, 8) AS BIGINT)"
 
+# 1 % of 60 bits.
+SAMPLE_HASH = "CAST('0x' || substr(md5(CAST(person_id AS VARCHAR)), 9, 15) AS BIGINT)"
+SAMPLE_LIMIT = round(0.01 * 16**15)
+
 _INTERESTS = ("interest_a", "interest_b", "interest_c")
 _COLUMNS = (
     "person_id", "county", "age", "gender", "ethnic_group", "income_band", "income_amount",
@@ -150,6 +155,56 @@ SELECT '{a}' AS a, '{b}' AS b,
     for b in (*_INTERESTS, "Voters_Turnout")
 )
 
+
+
+def _split_part(features: str, part: str) -> str:
+    side = "<" if part == "train" else ">="
+    return f"rows AS (SELECT * FROM ({features}) WHERE {HASH.format(1)} % 100 {side} 80)"
+
+
+def _score_equations(names: tuple[str, ...]) -> str:
+    """At the maximum the label gives what the probability gives."""
+    each = [
+        f"""
+SELECT count(*) AS n_train, '{n}' AS feature,
+ round(sum("Voters_Turnout" * {n}) / CAST(sum({n}) AS DOUBLE), 3) AS value FROM rows"""
+        for n in names
+    ]
+    last = """
+SELECT count(*), 'intercept', round(avg("Voters_Turnout"), 3) FROM rows"""
+    return " UNION ALL ".join([*each, last])
+
+
+def _model_reports() -> dict[str, str]:
+    demographics = ("age", "gender", "income_amount")
+    models = {
+        "lr_interests": (_features(_INTEREST_FLAGS), _INTERESTS),
+        "lr_demo": (_features(_DEMOGRAPHICS, ("age", "income_amount")), demographics),
+        "lr_all": (
+            _features(f"{_INTEREST_FLAGS}, {_DEMOGRAPHICS}", ("age", "income_amount")),
+            (*_INTERESTS, *demographics),
+        ),
+    }
+    out = {}
+    for name, (rows, features) in models.items():
+        test = _split_part(rows, "test")
+        out[f"{name}_check"] = _with(_score_equations(features), extra=_split_part(rows, "train"))
+        out[f"{name}_test_labels"] = _with(
+            'SELECT "Voters_Turnout", count(*) AS n FROM rows GROUP BY 1', extra=test
+        )
+        out[f"{name}_sample"] = _with(
+            'SELECT person_id, "Voters_Turnout" FROM rows ORDER BY person_id LIMIT 10', extra=test
+        )
+    young = f"young AS (SELECT * FROM people WHERE {AGE} BETWEEN 18 AND 30)"
+    rows = _features(_INTEREST_FLAGS).replace("FROM people", "FROM young")
+    out["young_lr_interests_check"] = _with(
+        _score_equations(_INTERESTS), extra=f"{young}, {_split_part(rows, 'train')}"
+    )
+    flags = _FLAG_FRAME.replace("FROM people", "FROM young")
+    out["young_correlation_matrix"] = _with(_CORRELATIONS, extra=f"{young}, {flags}")
+    return out
+
+
 _NULL_RATIOS = " UNION ALL ".join(
     f"""
 SELECT '{name}' AS column_name,
@@ -172,7 +227,7 @@ SQL: dict[str, str] = {
     # sources and cleaning
     "row_count": _with("SELECT count(*) AS n FROM people"),
     "first_rows": _with("SELECT * FROM people ORDER BY person_id LIMIT 10"),
-    "hash_sample": _with(f"SELECT * FROM people WHERE {HASH.format(9)} % 1000000 < 10000"),
+    "hash_sample": _with(f"SELECT * FROM people WHERE {SAMPLE_HASH} < {SAMPLE_LIMIT}"),
     "rename_columns": _with(_AREA),
     "complete_cases": _with(
         """SELECT * FROM area WHERE "General 2020" IS NOT NULL AND county IS NOT NULL
@@ -217,7 +272,7 @@ FROM people GROUP BY 1"""
 FROM people GROUP BY 1, 2"""
     ),
     "avg_age_by_group": _with(
-        f'SELECT ethnic_group, round(avg({AGE}), 6) AS "Average_Age" FROM people GROUP BY 1'
+        f'SELECT ethnic_group, round(avg({AGE_AS_READ}), 6) AS "Average_Age" FROM people GROUP BY 1'
     ),
     "avg_income_by_group": _with(
         f"""SELECT ethnic_group, round(avg({STRIP_ALL}), 6) AS "Average_Income"
@@ -286,8 +341,10 @@ FROM curve""",
     ),
     "pivot_counts": _with(
         """SELECT label, count(*) FILTER (WHERE score IS NULL OR score < 50) AS "0.0",
- count(*) FILTER (WHERE score >= 50) AS "1.0" FROM scores GROUP BY 1""",
+ count(*) FILTER (WHERE score >= 50) AS "1.0",
+ count(*) FILTER (WHERE false) AS other FROM scores GROUP BY 1""",
         extra=_AGE_SCORES,
     ),
     "correlation_matrix": _with(_CORRELATIONS, extra=_FLAG_FRAME),
+    **_model_reports(),
 }

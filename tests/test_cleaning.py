@@ -1,5 +1,7 @@
 """Column functions and row operators on hand-made rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,34 @@ def test_to_int_cuts_fractions_and_keeps_bad_text_out(spark, ansi):
     assert _apply(df, to_int(df["t"])) == [25, 25, 25, -25, 0, None, None, None, None, None]
 
 
+def test_to_int_reads_a_lone_point_as_zero(spark, ansi):
+    df = _texts(spark, [".", "-.5", "+7.", " 25.9 ", "2.5.1", "1.e3"])
+    assert _apply(df, to_int(df["t"])) == [0, 0, 7, 25, None, None]
+
+
+def test_flag_characters_are_checked():
+    for yes, no in (("Yes", "N"), ("Y", ""), ("Y", "Y")):
+        with pytest.raises(ValueError, match="different characters"):
+            flag_translate(F.lit("x"), yes, no)
+
+
+def test_small_samples_are_not_rounded_away(spark):
+    df = spark.range(200000)
+    hashes = [int(hashlib.md5(str(i).encode()).hexdigest()[8:23], 16) for i in range(200000)]
+    expected = {i for i, h in enumerate(hashes) if h < round(2e-5 * 16**15)}
+    assert {r.id for r in op.hash_sample(df, "id", 2e-5).collect()} == expected
+    fraction = (min(hashes) + 1) / 16**15  # far below a millionth of the buckets
+    assert op.hash_sample(df, "id", fraction * 1.0000001).count() == 1
+    for wrong in (-0.1, 1.1):
+        with pytest.raises(ValueError, match="fraction"):
+            op.hash_sample(df, "id", wrong)
+
+
+def test_money_reads_long_text_whole(spark):
+    df = _texts(spark, ["$" + "0" * 150 + "7"])
+    assert _apply(df, parse_money(df["t"], "substr")) == [7]
+
+
 def test_to_float_is_32_bit(spark, ansi):
     df = _texts(spark, ["0.1", "x", None])
     assert _apply(df, to_float(df["t"]).cast("double")) == [0.10000000149011612, None, None]

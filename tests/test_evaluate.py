@@ -105,8 +105,8 @@ def test_confusion(spark):
     long = op.confusion_long(df, "label", "prediction")
     assert {tuple(r) for r in long.collect()} == {(0, 0.0, 1), (1, 0.0, 2)}
     wide = op.pivot_counts(df, "label", "prediction")
-    assert wide.columns == ["label", "0.0", "1.0"]
-    assert {tuple(r) for r in wide.collect()} == {(0, 1, 0), (1, 2, 0)}
+    assert wide.columns == ["label", "0.0", "1.0", "other"]
+    assert {tuple(r) for r in wide.collect()} == {(0, 1, 0, 0), (1, 2, 0, 0)}
 
 
 def test_correlation_of_three_rows(spark):
@@ -141,3 +141,18 @@ def test_correlation_uses_complete_rows(spark):
     df = spark.createDataFrame([(1, 1), (2, 2), (3, 1), (9, None)], "a int, b int")
     r = {(x.a, x.b): x.r for x in op.correlation_matrix(df, ["a", "b"]).collect()}
     assert r["a", "b"] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_pivot_counts_lose_no_row(spark):
+    df = spark.createDataFrame([(0, 0.0), (0, 2.0), (0, None), (1, 1.0)], "label int, prediction double")
+    wide = {r.label: tuple(r)[1:] for r in op.pivot_counts(df, "label", "prediction").collect()}
+    assert wide == {0: (1, 0, 2), 1: (0, 1, 0)}
+
+
+def test_labels_other_than_0_and_1_are_not_on_the_curve(spark):
+    rows = [(0.9, 1.0), (0.8, 0.7), (0.4, 0.0), (0.3, 2.0), (0.2, 1.0)]
+    df = spark.createDataFrame(rows, "score double, label double")
+    known = df.filter("label in (0, 1)")
+    points = lambda d: sorted(map(str, op.roc_points(d, "score", "label").collect()))
+    assert points(df) == points(known)
+    assert op.auc(df, "score", "label").first()[0] == 0.5

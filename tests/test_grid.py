@@ -119,3 +119,9 @@ def test_bounding_box(spark):
     assert op.bounding_box(df, ["a", "b"]).first().asDict() == {
         "min_a": 1.0, "max_a": 3.0, "min_b": -2.0, "max_b": 5.0,
     }
+
+
+def test_bounding_box_leaves_out_what_the_grid_leaves_out(spark):
+    rows = [(float("nan"),), (3.0,), (float("inf"),), (None,)]
+    df = spark.createDataFrame(rows, "a double")
+    assert tuple(op.bounding_box(df, ["a"]).first()) == (3.0, 3.0)

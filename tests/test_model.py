@@ -1,5 +1,7 @@
 """Logistic regression against Newton's method on a small table."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +109,36 @@ def test_models_run_on_the_registration_file(voter_file):
     assert run.model.stages[-1].numFeatures == 14
     assert 0 <= run.auc().first()[0] <= 1
     assert run.confusion().agg(F.sum("count")).first()[0] == run.scored.count()
-    assert run.confusion_wide().columns == ["Voters_Turnout", "0.0", "1.0"]
+    assert run.confusion_wide().columns == ["Voters_Turnout", "0.0", "1.0", "other"]
     assert run.roc().count() == run.scored.select("probability").distinct().count() + 1
     assert run.sample().count() == 10
+
+
+def test_a_key_makes_the_split_repeatable(voter_file):
+    keyed = voter_file.withColumn("k", F.monotonically_increasing_id())
+    tables = [Analyses(df, VOTER_FILE).with_key("k") for df in (keyed, keyed.repartition(5, "k"))]
+    runs = [t.interest_model() for t in tables]
+    one, two = (r.scored.select("k") for r in runs)
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_auc_is_the_rank_formula(voter_file):
+    run = Analyses(voter_file, VOTER_FILE).demographic_model()
+    rows = [(r.probability, r.Voters_Turnout) for r in run.scored.collect()]
+    yes, no = [p for p, y in rows if y == 1], [p for p, y in rows if y == 0]
+    wins = sum((a > b) + (a == b) / 2 for a in yes for b in no)
+    assert run.auc().first()[0] == pytest.approx(wins / len(yes) / len(no))
+
+
+def test_score_equations_and_close(voter_file):
+    run = Analyses(voter_file, VOTER_FILE).full_model()
+    found = {r.feature: r.value for r in run.score_equations().collect()}
+    rows = run.train.collect()
+    for name in run.features:
+        total = sum(r[name] for r in rows)
+        expected = sum(r[name] * r["Voters_Turnout"] for r in rows) / total
+        assert found[name] == pytest.approx(expected, abs=1e-4)
+    file = run.stored.inputFiles()[0].removeprefix("file://")
+    assert Path(file).exists()
+    run.close()
+    assert not Path(file).exists()

@@ -7,10 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from cohortkit.plans.catalog import QUERIES
+from oracles import SQL
 
 TABLES = "/root/testdata/sf0.01"
 SCORED = {"lr_interests", "lr_demo", "lr_all"}
-WITHOUT_SQL = SCORED | {"lr_all_roc", "lr_all_confusion"}
+REPORTS = {f"{m}_{r}" for m in SCORED for r in ("auc", "confusion_long")}
+WITHOUT_SQL = SCORED | REPORTS | {"lr_all_roc", "lr_all_confusion"}
 
 # The same type under the names of the two engines.
 TYPE_NAMES = {
@@ -41,11 +44,12 @@ def _bag(columns, rows):
 
 
 def test_every_query_has_sql_but_the_fits():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+    assert set(SQL) <= set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, engine, name):
     df = contract.queries()[name](spark, TABLES)
     expected = engine.execute(contract.oracle_sql()[name])
@@ -76,7 +80,7 @@ def test_model_reports_cover_the_test_rows(spark):
     test = contract.queries()["hash_split"](spark, TABLES).filter("part = 'test'")
     expected = rows.join(test, "person_id", "left_semi").count()
     wide = contract.queries()["lr_all_confusion"](spark, TABLES).collect()
-    assert sum(r["0.0"] + r["1.0"] for r in wide) == expected
+    assert sum(r["0.0"] + r["1.0"] + r["other"] for r in wide) == expected
     curve = contract.queries()["lr_all_roc"](spark, TABLES).toPandas().sort_values(["fpr", "tpr"])
     assert curve.iloc[0][["fpr", "tpr"]].tolist() == [0, 0]
     assert curve.iloc[-1][["fpr", "tpr"]].tolist() == [1, 1]

@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from cohortkit import operators as op
 from cohortkit.operators.evaluate import _cumulated
 from cohortkit.plans import PEOPLE, Analyses
+from cohortkit.plans.catalog import QUERIES
 from cohortkit.sources import cut_lineage, keep, load, people
 
 TABLES = "/root/testdata/sf0.001"
-RANKED = {"roc_points", "auc", "lr_all_roc"}
+RANKED = {"roc_points", "auc", "lr_all_roc", "lr_interests_auc", "lr_demo_auc", "lr_all_auc"}
 
 
 @contextmanager
@@ -40,10 +40,10 @@ def _children(plan, node):
     return [lines[i + 1] for i, line in enumerate(lines) if node in line]
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_nested_loops_no_python_rows_no_full_gather(spark, name):
     """One task receives partial aggregates only, or one row per score range."""
-    plan = _plan(contract.queries()[name](spark, TABLES))
+    plan = _plan(QUERIES[name](spark, TABLES))
     assert not re.search("NestedLoop|CartesianProduct|EvalPython|MapInPandas", plan)
     for child in _children(plan, "Exchange SinglePartition"):
         partial = "Aggregate" in child and "partial_" in child
@@ -79,6 +79,16 @@ def test_group_share_reads_its_table_once(spark):
     assert "ReusedExchange" in "".join(final)
 
 
+def test_correlation_of_numbers_shuffles_no_rows(spark):
+    i = F.col("id").cast("double")
+    df = spark.range(5000).select((i + 1e9).alias("a"), F.sin(i).alias("b"), (i % 3).alias("c"))
+    plain = op.correlation_matrix(df, ["a", "b", "c"])
+    assert "hashpartitioning" not in _plan(plain)
+    collapsed = op.correlation_matrix(df, ["a", "b", "c"], collapse=True)
+    values = lambda m: {(r.a, r.b): r.r for r in m.collect()}
+    assert values(plain) == pytest.approx(values(collapsed), abs=1e-9)
+
+
 def test_correlation_means_and_products_read_one_shuffle(spark):
     features = Analyses(people(spark, TABLES), PEOPLE).interest_correlations()
     features.collect()
