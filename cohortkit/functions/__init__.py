@@ -4,6 +4,7 @@ from cohortkit.functions.casts import to_float, to_int
 from cohortkit.functions.flags import flag_equals, flag_translate
 from cohortkit.functions.hashing import hash_bucket
 from cohortkit.functions.money import MONEY_MODES, parse_money
+from cohortkit.functions.ranges import range_index
 
 __all__ = [
     "MONEY_MODES",
@@ -11,6 +12,7 @@ __all__ = [
     "flag_translate",
     "hash_bucket",
     "parse_money",
+    "range_index",
     "to_float",
     "to_int",
 ]

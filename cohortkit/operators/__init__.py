@@ -1,6 +1,6 @@
 """DataFrame-to-DataFrame operators.
 
-All are lazy but ``fit_logistic``, ``one_hot_grid``, ``roc_points`` and
+All are lazy but ``fit_logistic``, ``grid_bounds``, ``one_hot_grid``, ``roc_points`` and
 ``auc``, which run jobs while they are built. No rows come to the driver.
 """
 
@@ -25,7 +25,14 @@ from cohortkit.operators.evaluate import (
     pivot_counts,
     roc_points,
 )
-from cohortkit.operators.grid import bounding_box, grid_buckets, grid_rate, one_hot_grid
+from cohortkit.operators.grid import (
+    bounding_box,
+    grid_bounds,
+    grid_buckets,
+    grid_rate,
+    highest_cells,
+    one_hot_grid,
+)
 from cohortkit.operators.groups import (
     distinct_values,
     group_counts,
@@ -59,6 +66,7 @@ __all__ = [
     "flag_counts",
     "flag_profile",
     "flag_ratios",
+    "grid_bounds",
     "grid_buckets",
     "grid_rate",
     "group_counts",
@@ -69,6 +77,7 @@ __all__ = [
     "mean_by",
     "null_counts",
     "null_ratios",
+    "highest_cells",
     "one_hot_grid",
     "pivot_counts",
     "random_sample",

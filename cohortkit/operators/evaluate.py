@@ -7,43 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.sources.tables import cut_lineage
+from cohortkit.functions import range_index
 
+RANGES = 256  # of scores; their number sets the balance of tasks only
 
-def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
+
+def _inside():
+    """The scores of a range, highest first."""
+    return Window.partitionBy("part").orderBy(F.desc("score"))
+
+
+def _cumulated(df: DataFrame, score: str, label: str, ranges: int = RANGES) -> DataFrame:
     """Per distinct score, positives and negatives at it and above it.
 
-    Rows are first counted per score, which removes any hot score. The
-    distinct scores are then cut into ranges, highest first, and stored, so
-    that every later step sees the same ranges also after a retry. They are
-    stored sorted, which makes the later sort a cheap merge. A running sum
-    inside each range plus the sums of the ranges above it gives the whole
-    running sum without sorting everything in one task. Only the one row per
-    range (at most ``spark.sql.shuffle.partitions``) is gathered. Rows
-    without a score (null or NaN) and rows whose label is not 0 or 1 have no
-    place on the curve.
+    Rows are first counted per score, which removes any hot score. Quantiles
+    fixed beforehand cut the distinct scores into ``ranges``; their number and
+    places only set the balance. A running sum inside each range plus the sums
+    of the ranges above it gives the whole running sum without sorting
+    everything in one task. Only one row per range is gathered and broadcast.
+    Rows without a score (null or NaN) and rows whose label is not 0 or 1 have
+    no place on the curve.
     """
-    counted = (
+    known = (
         df.select(df[score].alias("score"), df[label].alias("label"))
         .na.drop()
         .filter(F.col("label").isin(0, 1))
-        .groupBy("score")
-        .agg(
-            F.count_if(F.col("label") == 1).alias("pos"),
-            F.count_if(F.col("label") == 0).alias("neg"),
-        )
     )
-    ranged = cut_lineage(
-        counted.repartitionByRange(F.desc("score"))
-        .sortWithinPartitions(F.desc("score"))
-        .withColumn("part", F.spark_partition_id())
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = sorted(set(known.agg(F.percentile_approx("score", shares)).first()[0] or []))
+    counted = known.groupBy("score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
+    ranged = counted.withColumn("part", range_index(F.col("score"), cuts)).repartition("part")
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     above = Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("part")
         .agg(
-            F.max("score").alias("top"),
+            F.max("score").alias("top"),  # reads the same columns, so the shuffle is shared
             F.sum("pos").alias("part_pos"),
             F.sum("neg").alias("part_neg"),
         )
@@ -55,12 +56,9 @@ def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
             F.sum("part_neg").over(whole).alias("all_neg"),
         )
     )
-    inside = (
-        Window.partitionBy("part")
-        .orderBy(F.desc("score"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    inside = _inside().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ranged.join(F.broadcast(offsets), "part").select(
+        "part",
         "score",
         "pos",
         "neg",
@@ -71,12 +69,22 @@ def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
+def roc_points(df: DataFrame, score: str, label: str, thin: bool = False) -> DataFrame:
     """``(score, fpr, tpr)`` at every distinct score, and the origin.
 
     The origin has a null score. A rate is NULL if its class has no rows.
+    ``thin`` leaves out points on a straight line between their neighbours of
+    the same range of scores, which changes neither the curve nor its area.
     """
-    points = _cumulated(df, score, label).select(
+    steps = _cumulated(df, score, label)
+    if thin:
+        pos, neg = (F.col(c).cast("decimal(19,0)") for c in ("pos", "neg"))
+        straight = pos * F.lead(neg).over(_inside()) == neg * F.lead(pos).over(_inside())
+        inner = F.lag("score").over(_inside()).isNotNull()
+        steps = steps.withColumn("straight", inner & straight).filter(
+            ~F.coalesce("straight", F.lit(False))
+        )
+    points = steps.select(
         F.col("score").cast("double").alias("score"),
         F.try_divide("cum_neg", "all_neg").alias("fpr"),
         F.try_divide("cum_pos", "all_pos").alias("tpr"),

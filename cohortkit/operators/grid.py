@@ -24,16 +24,29 @@ def bounding_box(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+Bounds = Mapping[str, tuple[float | None, float | None]]
+
+
+def grid_bounds(df: DataFrame, columns: Sequence[str]) -> Bounds:
+    """The least and largest finite number of each column; runs one job, for one row."""
+    ends = [end(_finite(df[c].cast("double"))) for c in columns for end in (F.min, F.max)]
+    found = df.agg(*ends).first()
+    return {c: (found[2 * i], found[2 * i + 1]) for i, c in enumerate(columns)}
+
+
 def grid_buckets(
-    df: DataFrame, buckets: Mapping[str, str], step: float = DEFAULT_STEP
+    df: DataFrame,
+    buckets: Mapping[str, str],
+    step: float = DEFAULT_STEP,
+    bounds: Bounds | None = None,
 ) -> DataFrame:
     """Add a cell index per coordinate: ``buckets`` maps column to new column.
 
     Cell ``k`` starts at ``min + k * width``; the last cell is closed above;
     a missing coordinate has no cell. ``width`` is the step as it comes out
     of double arithmetic at ``min``, and the comparison with both cell borders
-    settles points that the division puts on the wrong side. The bounds are
-    one scalar subquery that reads only the coordinates.
+    settles points that the division puts on the wrong side. Without given
+    ``bounds`` they are one scalar subquery that reads only the coordinates.
 
     Each stage names its results, so that the next refers to columns instead
     of repeating their expressions.
@@ -41,12 +54,22 @@ def grid_buckets(
     axes = list(enumerate(buckets))
     staged = df.withColumns({f"__v{i}": df[name].cast("double") for i, name in axes})
     staged = staged.withColumns({f"__x{i}": _finite(f"__v{i}") for i, _ in axes})
-    ends = [
-        end(f"__x{i}").alias(f"{label}{i}")
-        for i, _ in axes
-        for label, end in (("low", F.min), ("high", F.max))
-    ]
-    staged = staged.withColumn("__box", staged.agg(F.struct(*ends)).scalar())
+    if bounds is None:
+        ends = [
+            end(f"__x{i}").alias(f"{label}{i}")
+            for i, _ in axes
+            for label, end in (("low", F.min), ("high", F.max))
+        ]
+        box = staged.agg(F.struct(*ends)).scalar()
+    else:
+        box = F.struct(
+            *[
+                F.lit(value).cast("double").alias(f"{label}{i}")
+                for i, name in axes
+                for label, value in zip(("low", "high"), bounds[name])
+            ]
+        )
+    staged = staged.withColumn("__box", box)
     staged = staged.withColumns(
         {name: value for i, _ in axes for name, value in _axis(i, step).items()}
     )
@@ -55,9 +78,10 @@ def grid_buckets(
     return cells.select(*[c for c in df.columns if c not in buckets.values()], *buckets.values())
 
 
-def _finite(value: str) -> Column:
+def _finite(value: str | Column) -> Column:
     """NaN and infinities are missing values: one bad row cannot stretch the grid."""
-    return F.when(F.abs(value) < F.lit(float("inf")), F.col(value))
+    number = F.col(value) if isinstance(value, str) else value
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def _axis(i: int, step: float) -> dict[str, Column]:
@@ -109,13 +133,27 @@ def grid_rate(
     )
 
 
-def one_hot_grid(df: DataFrame, vectors: Mapping[str, str]) -> DataFrame:
+def highest_cells(
+    df: DataFrame, buckets: Mapping[str, str], bounds: Bounds, step: float = DEFAULT_STEP
+) -> DataFrame:
+    """One row: the highest cell of each axis, which is that of its largest coordinate."""
+    corner = df.sparkSession.range(1).select(
+        *[F.lit(bounds[name][1]).cast("double").alias(name) for name in buckets]
+    )
+    cells = grid_buckets(corner, buckets, step, bounds)
+    return cells.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in buckets.values()])
+
+
+def one_hot_grid(
+    df: DataFrame, vectors: Mapping[str, str], highest: DataFrame | None = None
+) -> DataFrame:
     """Add a sparse one-hot vector per cell index; the last index is all zero.
 
-    The encoder is fitted on one row with the highest index of each column,
-    so the table is scanned once for all columns.
+    The encoder is fitted on one row with the highest index of each column:
+    the given one, or one aggregation of the table.
     """
     cells = list(vectors)
-    highest = df.agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in cells])
+    if highest is None:
+        highest = df.agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in cells])
     encoder = OneHotEncoder(inputCols=cells, outputCols=list(vectors.values()))
     return encoder.fit(highest).transform(df)

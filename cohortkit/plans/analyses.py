@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortkit import operators as op
 from cohortkit.functions import flag_equals, flag_translate, parse_money, to_float
-from cohortkit.operators.grid import DEFAULT_STEP
+from cohortkit.operators.grid import DEFAULT_STEP, Bounds
 from cohortkit.plans.layout import Layout
 from cohortkit.sources import cut_lineage, discard
 
@@ -166,15 +166,18 @@ class Analyses:
     def area_bounds(self) -> DataFrame:
         return op.bounding_box(self.area(), list(_GRID))
 
-    def area_cells(self, step: float = DEFAULT_STEP) -> DataFrame:
+    def area_cells(self, step: float = DEFAULT_STEP, bounds: Bounds | None = None) -> DataFrame:
         """``area`` with the vote as a flag and a cell per coordinate."""
         area = self.area()
         voted = area.withColumn("General 2020", flag_translate(area["General 2020"]))
-        return op.grid_buckets(voted, _GRID, step)
+        return op.grid_buckets(voted, _GRID, step, bounds)
 
     def area_cell_vectors(self, step: float = DEFAULT_STEP) -> DataFrame:
         vectors = {cell: f"{cell}_vec" for cell in _GRID.values()}
-        return op.one_hot_grid(self.area_cells(step), vectors)
+        area = self.area()
+        bounds = op.grid_bounds(area, list(_GRID))
+        highest = op.highest_cells(area, _GRID, bounds, step)
+        return op.one_hot_grid(self.area_cells(step, bounds), vectors, highest)
 
     def turnout_by_cell(self, step: float = DEFAULT_STEP) -> DataFrame:
         area = self.area()

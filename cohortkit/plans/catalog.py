@@ -85,19 +85,24 @@ def _vector_shape(cell: str, vector: str) -> list[Column]:
     return [F.array_size(array).alias(f"{cell}_length"), hot.alias(f"{cell}_hot")]
 
 
+_AXES = {"longitude": "long_bucket", "latitude": "lat_bucket"}
+
+
+def _points(df: DataFrame) -> DataFrame:
+    return df.select("person_id", *[to_float(df[name]).alias(name) for name in _AXES])
+
+
 def _cells(df: DataFrame) -> DataFrame:
-    points = df.select(
-        "person_id",
-        to_float(df["longitude"]).alias("longitude"),
-        to_float(df["latitude"]).alias("latitude"),
-    )
-    cells = op.grid_buckets(points, {"longitude": "long_bucket", "latitude": "lat_bucket"})
-    return cells.select("person_id", "long_bucket", "lat_bucket")
+    return op.grid_buckets(_points(df), _AXES).select("person_id", *_AXES.values())
 
 
 def _one_hot(df: DataFrame) -> DataFrame:
+    points = _points(df)
+    bounds = op.grid_bounds(points, list(_AXES))
     vectors = op.one_hot_grid(
-        _cells(df), {"long_bucket": "long_vector", "lat_bucket": "lat_vector"}
+        op.grid_buckets(points, _AXES, bounds=bounds),
+        {"long_bucket": "long_vector", "lat_bucket": "lat_vector"},
+        op.highest_cells(points, _AXES, bounds),
     )
     return vectors.select(
         "person_id",

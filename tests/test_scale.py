@@ -151,6 +151,41 @@ def test_roc_over_many_ranges_equals_one_sorted_window(spark, many_scores):
     assert rows == {r.score: (r.p, r.n) for r in expected.collect()}
 
 
+def test_ranges_take_one_shuffle_after_the_count(spark, many_scores):
+    curve = op.roc_points(many_scores, "score", "label")
+    curve.collect()
+    plan = _plan(curve).split("== Initial Plan ==")[0]
+    by_part = [x for x in plan.splitlines() if "Exchange hashpartitioning(part" in x]
+    assert ["ReusedExchange" in x for x in by_part].count(False) == 1
+
+
+def test_thin_curve_has_the_same_area(spark, many_scores):
+    few = many_scores.withColumn("label", (F.col("score") > 0.5).cast("int"))
+    for df in (many_scores, few):
+        whole = op.roc_points(df, "score", "label").collect()
+        thin = op.roc_points(df, "score", "label", thin=True).collect()
+        assert {tuple(r) for r in thin} <= {tuple(r) for r in whole}
+
+        def area(points):
+            at = sorted((r.fpr, r.tpr) for r in points)
+            return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(at, at[1:]))
+
+        assert area(thin) == pytest.approx(area(whole), abs=1e-12)
+    assert len(thin) < len(whole) / 20
+
+
+def test_given_bounds_spare_the_pass_for_them(spark):
+    i = F.col("id")
+    df = spark.range(4000).select((i % 97 / 10).alias("x"), (i % 53 / 7).alias("y"))
+    axes = {"x": "cx", "y": "cy"}
+    bounds = op.grid_bounds(df, ["x", "y"])
+    given = op.grid_buckets(df, axes, 0.3, bounds)
+    assert "Subquery" not in _plan(given)
+    assert given.exceptAll(op.grid_buckets(df, axes, 0.3)).isEmpty()
+    top = op.highest_cells(df, axes, bounds, 0.3).first()
+    assert tuple(top) == tuple(given.agg(F.max("cx"), F.max("cy")).first())
+
+
 def test_auc_does_not_depend_on_the_number_of_ranges(spark, many_scores):
     found = set()
     for parts in ("1", "8", "64"):
