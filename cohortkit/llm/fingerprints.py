@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortkit.functions import range_index
 from cohortkit.llm.spans import SPACE, hashes, mix, runs, texts
 from cohortkit.llm.text import whole
 
@@ -18,7 +19,7 @@ CHECK = 32  # lanes that tell unequal multisets apart, from a cryptographic hash
 SKETCH = 224  # lanes that count word pairs, for likeness
 LANES = CHECK + SKETCH
 PART = 1 << 22  # bytes of text worked on at once
-RANGES = 4  # ranges of ids per shuffle partition
+RANGES, MOST_RANGES = 4, 4096  # ranges of ids per shuffle partition, and in all (each is in the plan)
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -119,14 +120,15 @@ def fingerprint_with_edits(
     """
     id_type = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("id"), whole(docs[text_column]).alias("text"))
-    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(RANGES * partitions, MOST_RANGES)
     firsts = _range_starts(rows.select("id"), ranges)
     bounds = firsts[1:]
-    own = rows.withColumns({"part": _part(F.col("id"), bounds), "guest": F.lit(False)})
+    own = rows.withColumns({"part": range_index(F.col("id"), bounds), "guest": F.lit(False)})
     if bounds:
         of_next = rows.filter(F.col("id").isin(bounds))
         own = own.union(
-            of_next.withColumns({"part": _part(F.col("id"), bounds) - 1, "guest": F.lit(True)})
+            of_next.withColumns({"part": range_index(F.col("id"), bounds) - 1, "guest": F.lit(True)})
         )
     if firsts:
         first = rows.filter(F.col("id").eqNullSafe(F.lit(firsts[0])))
@@ -154,20 +156,6 @@ def _range_starts(ids: DataFrame, ranges: int) -> list:
     return known
 
 
-def _part(value: Column, bounds: list) -> Column:
-    """How many bounds are not above the value, by halving; 0 for null."""
-
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(bounds[middle]), between(low, middle)).otherwise(
-            between(middle + 1, high)
-        )
-
-    return F.when(value.isNull(), F.lit(0)).otherwise(between(0, len(bounds)))
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order, each followed by its next; guests are only that."""
     held = None
