@@ -163,7 +163,8 @@ def correlation_matrix(
         low, high = min(i, j), max(i, j)
         spread = F.sqrt(F.col(f"s{i}_{i}")) * F.sqrt(F.col(f"s{j}_{j}"))
         both = F.col(f"varies_c{i}") & F.col(f"varies_c{j}")
-        return F.when(both, F.try_divide(F.col(f"s{low}_{high}"), spread))
+        product = F.try_divide(F.col(f"s{low}_{high}"), spread) if i != j else F.lit(1.0)
+        return F.when(both, product)
 
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(i, j).alias("r"))
