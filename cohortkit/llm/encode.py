@@ -15,11 +15,11 @@ from tokenizers import Tokenizer
 
 from cohortkit.llm.spans import SPACE, hashes, texts
 
-SLOT_BITS = 21
-POOL = 1 << 23  # ids kept
+SLOT_BITS = 20
+POOL = 1 << 22  # ids kept
 LONGEST = 64  # bytes of a piece that is kept
 TOGETHER = 256  # pieces in one call's text
-PART = 1 << 22  # bytes of text worked on at once
+PART = 1 << 20  # bytes of text worked on at once
 _MARK = 0x01  # a character that stands alone between pieces
 
 _SURE = np.zeros(256, bool)  # ASCII characters that are no white space

@@ -23,8 +23,8 @@ BATCH = 32
 RATE = 0.1
 SAMPLE = 4000  # labelled rows to learn from, at most as many of either label as half
 LONGEST = 50_000  # characters of a text to learn from; scores are of any length
-PART = 1 << 21  # bytes of text read at once
-CHUNK = 1 << 16  # words scored at once
+PART = 1 << 20  # bytes of text read at once
+CHUNK = 1 << 14  # words scored at once
 FOLDS = 5
 
 # Common words that tell a text's language, for its threshold: fixed values.
@@ -361,17 +361,16 @@ def fit_toxicity(
 def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The documents, with all their columns, that score below 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(docs.columns)
+    place = docs.columns.index(text_column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [shared.value.scores(words) < 0.5 for _, words in all_words(batch.column(n))]
+            parts = all_words(batch.column(place).fill_null(""))
+            clean = [shared.value.scores(words) < 0.5 for _, words in parts]
             if clean:
-                rows = batch.filter(pa.array(np.concatenate(clean)))
-                yield pa.RecordBatch.from_arrays(rows.columns[:n], names=batch.schema.names[:n])
+                yield batch.filter(pa.array(np.concatenate(clean)))
 
-    text = "text_to_score" + "_" * n  # longer than any name that could clash by chance
-    return docs.withColumn(text, whole(docs[text_column])).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def score_toxicity(
