@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.spans import LOWER, SPACE, hashes, runs, texts
+from cohortkit.llm.spans import LOWER, hashes, runs, texts
 from cohortkit.llm.text import whole
 
 WORD_BITS, START_BITS = 18, 16  # rows of the embedding tables, as powers of two
@@ -71,7 +71,7 @@ def _last(first: np.ndarray) -> np.ndarray:
 
 
 def all_words(column: pa.Array) -> Iterator[tuple[int, Words]]:
-    """Parts of a column: the first row, and the words; a long text is cut at white space to read it."""
+    """Parts of a column: the first row, and the words; a long text is cut between words to read it."""
     data, offsets = texts(column)
     row = 0
     while row < len(column):
@@ -80,8 +80,10 @@ def all_words(column: pa.Array) -> Iterator[tuple[int, Words]]:
         if to > row + 1 or high - low <= PART:
             yield row, words_of(data[low:high], offsets[row : to + 1] - low)
         else:
-            gaps = low + np.flatnonzero(SPACE[data[low:high]])
-            cuts = [low, *np.unique(gaps[np.searchsorted(gaps, np.arange(low + PART, high, PART)) - 1]), high]
+            gaps = low + np.flatnonzero(~_WORD[data[low:high]])
+            before = np.searchsorted(gaps, np.arange(low + PART, high, PART))
+            # A word that is longer than a part stays whole.
+            cuts = np.unique([low, *gaps[before[before > 0] - 1], high])
             parts = [words_of(data[a:b], np.array([0, b - a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield row, together(parts, one=True)
         row = to

@@ -101,3 +101,16 @@ def test_odd_documents(spark, odd, nothing, fitted):
     unlearned = toxicity.fit_toxicity(odd, marks)
     assert {r["predicted"] for r in toxicity.score_toxicity(odd, unlearned).collect()} == {0}
     assert toxicity.fit_toxicity(nothing, marks.limit(0)).out_bias < 0
+
+
+@pytest.mark.parametrize("text", ["aB3+/" * 300_000, "語" * 500_000, "語" * 500_000 + " idiot", "x" * 1_100_000 + "-idiot-" + "y" * 1_100_000])
+def test_long_text_without_white_space(spark, fitted, text):
+    _, _, model = fitted
+    assert len(text.encode()) > toxicity.PART
+    docs = spark.createDataFrame([(1, text), (2, "a idiot b"), (3, "")], "doc_id bigint, text string")
+    scored = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert set(scored) == {1, 2, 3}
+    whole = toxicity.words_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    assert scored[1]["score"] == pytest.approx(model.scores(whole)[0], abs=1e-6)
+    kept = {r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()}
+    assert kept == {i for i, r in scored.items() if r["predicted"] == 0}
