@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm.spans import LOWER, hashes, runs, texts
 from cohortkit.llm.text import whole
+from cohortkit.sources import cut_lineage
 
 WORD_BITS, START_BITS = 18, 16  # rows of the embedding tables, as powers of two
 STARTS = (4, 6)  # bytes of a word's beginning that have embeddings of their own
@@ -22,9 +24,9 @@ EPOCHS = 8
 BATCH = 32
 RATE = 0.1
 SAMPLE = 4000  # labelled rows to learn from, at most as many of either label as half
-LONGEST = 50_000  # characters of a text to learn from; scores are of any length
 PART = 1 << 20  # bytes of text read at once
-CHUNK = 1 << 14  # words scored at once
+CHUNK = 1 << 14  # words scored or learned from at once
+CUTS, FARTHEST = 64, 40  # bins of a logit for the thresholds: so many to a unit, up to this one
 FOLDS = 5
 
 # Common words that tell a text's language, for its threshold: fixed values.
@@ -194,27 +196,63 @@ def guess_languages(words: Words) -> list[str]:
     return [names[k] for k in counts.reshape(n, -1).argmax(axis=1)]
 
 
-def train(words: Words, toxic: np.ndarray, check: np.ndarray, weight: np.ndarray) -> Model:
-    """Learn from the texts that are not ``check``; thresholds from those that are.
+class Stored:
+    """Words of many texts as ``Words`` has them, but in a file; any range of places can be read.
+
+    The places of a word are one 64-bit number.
+    """
+
+    def __init__(self, parts: Iterator[tuple[int, bytes]]):
+        """``parts``: the number of a text, ascending, and a part of its words."""
+        self.file, lengths = tempfile.TemporaryFile(), []
+        for text, data in parts:
+            lengths += [0] * (text + 1 - len(lengths))
+            lengths[text] += len(data) // 8
+            self.file.write(data)
+        self.first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+    @property
+    def places(self) -> Stored:
+        return self
+
+    def __getitem__(self, some: slice) -> np.ndarray:
+        self.file.seek(8 * some.start)
+        return unpacked(np.frombuffer(self.file.read(8 * (some.stop - some.start)), np.uint64))
+
+
+def packed(places: np.ndarray) -> np.ndarray:
+    out = places[:, 0].astype(np.uint64)
+    for k in range(len(STARTS)):
+        out = out << np.uint64(START_BITS) | places[:, k + 1].astype(np.uint64)
+    return out
+
+
+def unpacked(numbers: np.ndarray) -> np.ndarray:
+    mask = np.uint64((1 << START_BITS) - 1)
+    starts = [numbers >> np.uint64(START_BITS * k) & mask for k in reversed(range(len(STARTS)))]
+    return np.stack([numbers >> np.uint64(START_BITS * len(STARTS)), *starts], axis=1).astype(np.int32)
+
+
+def train(words: Words | Stored, toxic: np.ndarray, times: np.ndarray) -> Model:
+    """Learn from texts, each so many ``times`` a round, without thresholds.
 
     Adagrad on the logistic loss; through the pooling only the words that a
-    filter picked get a gradient. ``weight``: rows that a sampled row stands
-    for, for the thresholds.
+    filter picked get a gradient.
     """
     model = Model.fresh()
     random = np.random.default_rng(11)
-    learn = np.flatnonzero(~check)
-    if len(learn) == 0 or len(set(toxic[learn].tolist())) < 2:
-        model.out_bias = 4.0 if len(learn) and toxic[learn].all() else -4.0
+    if len(toxic) == 0 or toxic.all() or not toxic.any():
+        model.out_bias = 4.0 if len(toxic) and toxic.all() else -4.0
         model.out[:] = 0
         return model
-    balance = np.where(toxic, 0.5 / max(toxic[learn].mean(), 1e-9), 0.5 / max(1 - toxic[learn].mean(), 1e-9))
+    learn = np.repeat(np.arange(len(toxic)), times)
+    share = toxic[learn].mean()
+    balance = np.where(toxic, 0.5 / share, 0.5 / (1 - share))
     memory = _Memory(model)
     for _ in range(EPOCHS):
         order = random.permutation(learn)
         for k in range(0, len(order), BATCH):
             _step(model, memory, words, order[k : k + BATCH], toxic, balance)
-    model.thresholds = _thresholds(model, words, toxic, check, weight)
     return model
 
 
@@ -229,26 +267,60 @@ class _Memory:
         self.out_bias = 1e-2
 
 
-def _step(model: Model, memory: _Memory, words: Words, batch, toxic, balance) -> None:
-    lengths = words.first[batch + 1] - words.first[batch]
-    rows = np.concatenate([np.arange(words.first[b], words.first[b + 1]) for b in batch])
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    places = words.places[rows]
-    embedded = model.embed(places)
-    found = model.responses(embedded, _last(first))
-    best = np.full((len(batch), len(model.bias)), -1)
-    pooled = np.zeros((len(batch), len(model.bias)), np.float32)
-    for k in np.flatnonzero(lengths):
-        a, b = first[k], first[k + 1]
-        for w, response in enumerate(found):
-            at = response[a:b].argmax(axis=0)
-            columns = slice(w * FILTERS, (w + 1) * FILTERS)
-            best[k, columns] = a + at
-            pooled[k, columns] = response[a:b][at, np.arange(FILTERS)]
+def _pieces(words: Words | Stored, batch: np.ndarray) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Ranges of words of the batch's texts, in groups of about ``CHUNK`` words.
+
+    A range is the text's number in the batch, its first word, the end of the
+    words where windows begin, and the end of those that they reach.
+    """
+    group, size = [], 0
+    for k, text in enumerate(batch.tolist()):
+        low, end = int(words.first[text]), int(words.first[text + 1])
+        while low < end:
+            high = min(low + CHUNK - size, end)
+            group.append((k, low, high, min(high + max(WIDTHS) - 1, end)))
+            size += high - low
+            low = high
+            if size >= CHUNK:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _picked(model: Model, words: Words | Stored, batch: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per text and filter: the largest response, the places of its window's words, which of them there are."""
+    columns = len(model.bias)
+    pooled = np.full((len(batch), columns), -np.inf, np.float32)
+    window = np.zeros((len(batch), columns, max(WIDTHS), len(model.tables)), np.int32)
+    inside = np.zeros((len(batch), columns, max(WIDTHS)), bool)
+    for group in _pieces(words, batch):
+        places = np.concatenate([words.places[low:reach] for _, low, _, reach in group])
+        last = np.zeros(len(places), bool)
+        ends = np.cumsum([reach - low for _, low, _, reach in group])
+        last[[e - 1 for e, (_, _, high, reach) in zip(ends, group, strict=True) if high == reach]] = True
+        found = np.concatenate(model.responses(model.embed(places), last), axis=1)
+        for end, (k, low, high, reach) in zip(ends.tolist(), group, strict=True):
+            begin = end - (reach - low)
+            response = found[begin : begin + high - low]
+            at = response.argmax(axis=0)
+            best = response[at, np.arange(columns)]
+            new = np.flatnonzero(best > pooled[k])
+            pooled[k, new] = best[new]
+            reached = begin + at[new, None] + np.arange(max(WIDTHS))
+            inside[k, new] = reached < end
+            window[k, new] = places[np.minimum(reached, end - 1)]
+    return pooled, window, inside
+
+
+def _step(model: Model, memory: _Memory, words: Words | Stored, batch, toxic, balance) -> None:
+    pooled, window, inside = _picked(model, words, batch)
+    some = words.first[batch + 1] > words.first[batch]
+    pooled[~some] = 0
     active = np.maximum(pooled + model.bias, 0)
     logit = active @ model.out + model.out_bias
     wrong = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic[batch]) * balance[batch] / len(batch)
-    back = (wrong[:, None] * model.out) * (active > 0) * (best >= 0)
+    back = (wrong[:, None] * model.out) * (active > 0) * some[:, None]
     d_filters = np.zeros_like(model.filters)
     touched, d_embedded = [], []
     step = 0
@@ -257,17 +329,16 @@ def _step(model: Model, memory: _Memory, words: Words, batch, toxic, balance) ->
             column = w * FILTERS + f
             texts_ = np.flatnonzero(back[:, column])
             for k in range(width):
-                at = best[texts_, column] + k
-                inside = at < first[texts_ + 1]
-                at, g = at[inside], back[texts_[inside], column]
+                there = texts_[inside[texts_, column, k]]
+                places, g = window[there, column, k], back[there, column]
                 c = (step + k) * FILTERS + f
-                d_filters[:, c] += g @ embedded[at]
-                touched.append(at)
+                d_filters[:, c] += g @ model.embed(places)
+                touched.append(places)
                 d_embedded.append(g[:, None] * model.filters[:, c])
         step += width
     at, gradient = np.concatenate(touched), np.concatenate(d_embedded)
     for k, table in enumerate(model.tables):
-        place, inverse = np.unique(places[at, k], return_inverse=True)
+        place, inverse = np.unique(at[:, k], return_inverse=True)
         total = np.zeros((len(place), WIDE), np.float32)
         np.add.at(total, inverse, gradient[:, k * WIDE : (k + 1) * WIDE])
         memory.tables[k][place] += (total**2).mean(axis=1)
@@ -280,34 +351,36 @@ def _step(model: Model, memory: _Memory, words: Words, batch, toxic, balance) ->
     model.out_bias -= 0.3 * RATE * wrong.sum() / np.sqrt(memory.out_bias)
 
 
-def _thresholds(model: Model, words: Words, toxic, check, weight) -> dict[str, float]:
+def _thresholds(bins: list) -> dict[str, float]:
     """Per language the logit that errs least on the checked texts, in the middle of its gap.
 
-    A language with too few of them has the threshold of all.
+    ``bins``: rows of ``language``, ``bin``, and how many texts are ``toxic``
+    and ``clean``. A language with too few of them has the threshold of all.
     """
-    logits = model.logits(words)
-    languages = np.array(guess_languages(words))
     chosen = {}
-    every = _best_cut(logits[check], toxic[check], weight[check])
+    every = _best_cut(bins)
     for name in COMMON:
-        some = check & (languages == name)
-        enough = toxic[some].sum() >= 5 and (~toxic[some]).sum() >= 5
-        chosen[name] = _best_cut(logits[some], toxic[some], weight[some]) if enough else every
+        some = [r for r in bins if r["language"] == name]
+        enough = all(sum(r[label] for r in some) >= 5 for label in ("toxic", "clean"))
+        chosen[name] = _best_cut(some) if enough else every
     return chosen
 
 
-def _best_cut(logits: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
-    if len(logits) == 0 or toxic.all() or not toxic.any():
+def _best_cut(bins: list) -> float:
+    at, inverse = np.unique([r["bin"] for r in bins], return_inverse=True)
+    bad, good = (
+        np.bincount(inverse, [r[label] for r in bins], len(at)) for label in ("toxic", "clean")
+    )
+    if not bad.any() or not good.any():
         return 0.0
-    order = np.argsort(logits, kind="stable")
-    at, bad, w = logits[order], toxic[order], weight[order]
+    at = at / CUTS
     # Errors when everything from k on counts as toxic.
-    missed = np.concatenate([[0], np.cumsum(np.where(bad, w, 0))])
-    blamed = np.concatenate([np.cumsum(np.where(bad, 0, w)[::-1])[::-1], [0]])
+    missed = np.concatenate([[0], np.cumsum(bad)])
+    blamed = np.concatenate([np.cumsum(good[::-1])[::-1], [0]])
     errors = missed + blamed
     padded = np.concatenate([[at[0] - 2], at, [at[-1] + 2]])
     gap = padded[1:] - padded[:-1]
-    best = np.flatnonzero(errors <= errors.min() + 1e-9)
+    best = np.flatnonzero(errors <= errors.min())
     k = best[gap[best].argmax()]
     return float((padded[k] + padded[k + 1]) / 2)
 
@@ -324,40 +397,111 @@ def fit_toxicity(
     label_column: str = "toxic",
     sample: int = SAMPLE,
 ) -> Model:
-    """Learn from labelled documents outside fold 0; fold 1 sets the thresholds.
-
-    The sample is bounded: by hash of the id the first ``sample`` / 2 rows of
-    either label, of texts up to ``LONGEST`` characters. It is trained on the
-    driver. Labels other than 0 and 1 and rows without a document are left
-    out; without labels of both kinds every text scores the same. Where the
-    labels repeat an id, all of its rows are used.
+    """Learn from labelled documents of folds 2 to 4; all of fold 1 set the thresholds.
+
+    The weights come from a bounded sample: by hash of the id the first
+    ``sample`` / 2 rows of either label. Its texts count whole; their words are
+    hashed in the tasks, come to the driver in parts and stay in a file of 8
+    bytes a word there, from which training reads ``CHUNK`` words at a time.
+    Thresholds are of the scores of every labelled document in fold 1, counted
+    in the cluster by language and ``1 / CUTS`` of a logit.
+
+    Labels other than 0 and 1 and rows without a document are left out;
+    without labels of both kinds every text scores the same. Where the labels
+    repeat an id, all of its rows are used; where the documents do, one of
+    them is learned from and all count for the thresholds.
     """
     known = labels.select(
         labels[id_column].alias("id"), labels[label_column].cast("int").alias("toxic")
-    ).filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & (fold(F.col("id")) != 0))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    ).filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
+    of_fold = fold(F.col("id"))
     picked = [
-        known.filter(F.col("toxic") == k)
+        known.filter((of_fold > 1) & (F.col("toxic") == k))
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample // 2)
         for k in (0, 1)
     ]
-    text = whole(docs[text_column])
-    rows = (
-        docs.select(docs[id_column].alias("id"), text.alias("text"))
-        .filter(F.length("text") <= LONGEST)
-        .join(F.broadcast(picked[0].union(picked[1])), "id")  # ``sample`` rows at most
-        .select("text", "toxic", (fold(F.col("id")) == 1).alias("check"), F.xxhash64("id").alias("by"))
-        .orderBy("by", "toxic", "text")
-        .toArrow()
-        .combine_chunks()
+    picked = cut_lineage(picked[0].union(picked[1]))  # ``sample`` rows at most
+    rows = docs.select(docs[id_column].alias("id"), whole(docs[text_column]).alias("text"))
+    model = _learn(rows, picked)
+    if model.out.any():
+        model.thresholds = _thresholds(_bins(rows.filter(of_fold == 1), known.filter(of_fold == 1), model))
+    return model
+
+
+def _learn(rows: DataFrame, picked: DataFrame) -> Model:
+    """A model without thresholds from the picked labels and one text of each of their ids."""
+    marks = picked.groupBy("id", "toxic").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    one = (
+        rows.join(F.broadcast(picked.select("id").distinct()), "id")
+        .groupBy("id")
+        .agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
+    )
+    id_type = rows.schema["id"].dataType.simpleString()
+    parts = one.mapInArrow(_parts, f"id {id_type}, part int, words binary")
+    ordered = parts.join(F.broadcast(marks), "id").orderBy(F.xxhash64("id"), "id", "toxic", "part")
+    toxic, times = [], []
+
+    def read() -> Iterator[tuple[int, bytes]]:
+        for r in cut_lineage(ordered.select("toxic", "times", "part", "words")).toLocalIterator():
+            if r["part"] == 0:
+                toxic.append(r["toxic"] == 1)
+                times.append(r["times"])
+            yield len(toxic) - 1, bytes(r["words"])
+
+    words = Stored(read())
+    return train(words, np.array(toxic, bool), np.array(times, int))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ids and texts: the id, the number of a part of the text, its packed words."""
+    for batch in batches:
+        for row, words in all_words(batch.column(1)):
+            numbers = packed(words.places)
+            for k, (low, high) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                cuts = [*range(low, max(high, low + 1), CHUNK), high]
+                data = [numbers[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array([row + k] * len(data))),
+                        pa.array(range(len(data)), pa.int32()),
+                        pa.array(data, pa.binary()),
+                    ],
+                    ["id", "part", "words"],
+                )
+
+
+def _bins(rows: DataFrame, known: DataFrame, model: Model) -> list:
+    """Labelled texts by ``language`` and ``bin`` of the logit: how many are ``toxic`` and ``clean``.
+
+    At most ``2 * FARTHEST * CUTS + 1`` bins of a language, at any size.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    most = FARTHEST * CUTS
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words in all_words(batch.column(1)):
+                at = np.clip(np.round(shared.value.logits(words) * CUTS), -most, most)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(row, len(at)),
+                        pa.array(guess_languages(words), pa.string()),
+                        pa.array(at.astype(np.int32)),
+                    ],
+                    ["id", "language", "bin"],
+                )
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    placed = rows.mapInArrow(place, f"id {id_type}, language string, bin int")
+    placed = placed.groupBy("id", "language", "bin").agg(F.count(F.lit(1)).alias("n"))
+    marks = known.groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    return (
+        placed.join(marks, "id")
+        .groupBy("language", "bin")
+        .agg(*(F.sum(F.col("n") * F.col(x)).alias(x) for x in ("toxic", "clean")))
+        .collect()
     )
-    toxic = rows.column("toxic").to_numpy() == 1
-    check = rows.column("check").to_numpy().astype(bool)
-    share = {k: counts.get(k, 0) / max(1, (toxic == k).sum()) for k in (0, 1)}
-    weight = np.where(toxic, share[1], share[0])
-    column = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    return train(together([w for _, w in all_words(column)]), toxic, check, weight)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:

@@ -114,3 +114,37 @@ def test_long_text_without_white_space(spark, fitted, text):
     assert scored[1]["score"] == pytest.approx(model.scores(whole)[0], abs=1e-6)
     kept = {r["doc_id"] for r in toxicity.keep_clean(docs, model).collect()}
     assert kept == {i for i, r in scored.items() if r["predicted"] == 0}
+
+
+def test_thresholds_count_every_labelled_text_of_fold_1(spark, monkeypatch):
+    rows, labels = corpus(600)
+    # Texts of over 50,000 characters, as any others.
+    rows = [(i, text + " filler" * 9_000 * (i % 10 == 0), *more) for i, text, *more in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    seen, thresholds = [], toxicity._thresholds
+    monkeypatch.setattr(toxicity, "_thresholds", lambda bins: seen.extend(bins) or thresholds(bins))
+    sampled, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda w, toxic, times: sampled.append((np.diff(w.first), toxic)) or train(w, toxic, times))
+    toxicity.fit_toxicity(docs, marks, sample=100)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    for label, value in (("toxic", 1), ("clean", 0)):
+        assert sum(r[label] for r in seen) == sum(fold(i) == 1 and t == value for i, _, t in labels)
+    lengths, toxic = sampled[0]
+    assert toxic.sum() == 50 and len(toxic) == 100 and lengths.max() > 9_000
+
+
+def test_words_in_a_file_teach_the_same(monkeypatch):
+    column = pa.array(["a idiot b " * 30, "", "w1 " * 50 + "moron", "!!!", "the " * 30])
+    [(_, words)] = toxicity.all_words(column)
+    toxic, times = np.array([True, False, True, False, False]), np.array([1, 1, 2, 1, 1])
+    numbers = toxicity.packed(words.places)
+    assert (toxicity.unpacked(numbers) == words.places).all()
+    parts = [(k, numbers[a:b].tobytes()) for k, (low, high) in enumerate(zip(words.first[:-1], words.first[1:])) for a, b in ((low, (low + high) // 2), ((low + high) // 2, high))]
+    stored = toxicity.Stored(iter(parts))
+    assert (stored.first == words.first).all()
+    plain = toxicity.train(words, toxic, times)
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    cut = toxicity.train(stored, toxic, times)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(plain.tables, cut.tables, strict=True))
+    assert np.allclose(plain.filters, cut.filters, atol=1e-4)
