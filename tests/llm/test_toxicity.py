@@ -134,6 +134,18 @@ def test_thresholds_count_every_labelled_text_of_fold_1(spark, monkeypatch):
     assert toxic.sum() == 50 and len(toxic) == 100 and lengths.max() > 9_000
 
 
+def test_one_document_of_an_id_is_learned_from(spark, monkeypatch):
+    rows, labels = corpus(60)
+    hot = next(i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 > 1)
+    rows += [(hot, f"copy number{k}", "en", "s") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    sampled, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda w, toxic, times: sampled.append(len(toxic)) or train(w, toxic, times))
+    toxicity.fit_toxicity(docs.repartition(4), marks)
+    assert sampled == [sum(zlib.crc32(str(i).encode()) % 5 > 1 for i in range(60))]
+
+
 def test_words_in_a_file_teach_the_same(monkeypatch):
     column = pa.array(["a idiot b " * 30, "", "w1 " * 50 + "moron", "!!!", "the " * 30])
     [(_, words)] = toxicity.all_words(column)
