@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortkit.llm import text_queries
 from cohortkit.llm.exact_dedup import exact_duplicates
 from cohortkit.llm.fingerprints import fingerprint_with_edits
 from cohortkit.llm.jaccard_join import Likeness, near_duplicates
@@ -116,7 +117,7 @@ def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (op1_warc, op2_packing, op3_mix_sources, op4_personal_data, op5_toxicity, op6_jaccard_join, op7_fingerprints, op8_exact_dedup, op9_sharding, op10_token_files)
-}
+} | text_queries.QUERIES
 
 SQL: dict[str, str] = {
     "op1_warc": """
@@ -170,4 +171,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY norm)
 """,
-}
+} | text_queries.SQL
