@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortkit.llm.conversations import conversation_reports, repair_conversations
 from cohortkit.llm.periodic_runs import periodic_runs
 from cohortkit.llm.ship import ship
 from cohortkit.llm.text import WORD, whole
@@ -53,7 +54,37 @@ def op11_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op11_periodic_runs,)}
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Rows lost, emptied, cut, doubled or given another role, by a hash of conversation and turn."""
+    known = lambda c: F.coalesce(rows[c].cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20
+    copies = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(known("text"), ".!?", "")).otherwise(known("text"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(known("role")).alias("role"),
+        text.alias("text"),
+        F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"),
+    )
+
+
+def op12_repair_conversations(spark: SparkSession, directory: str) -> DataFrame:
+    ship(spark)
+    rows = table(spark, directory, "conversations")
+    reports = conversation_reports(repair_conversations(_damaged(rows)))
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    both = every.join(reports, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return both.select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (op11_periodic_runs, op12_repair_conversations)}
 
 
 def _crc32(text: str) -> str:
@@ -68,7 +99,83 @@ def _crc32(text: str) -> str:
     )
 
 
+def _state(cost: str, audit: str, lines: str) -> str:
+    return f"{{'c': CAST({cost} AS BIGINT), 'a': {audit}, 't': {lines}}}"
+
+
+def _repair() -> str:
+    """The grammar's four states row by row, each with its least cost, audit and lines."""
+    none = _state("1000000000", "''", "CAST([] AS VARCHAR[])")
+    begin = _state("0", "''", "CAST([] AS VARCHAR[])")
+    delete = lambda x: _state(f"{x}.c + 2", f"{x}.a || 'D'", f"{x}.t")
+    insert = lambda x, role: _state(f"{x}.c + 5", f"{x}.a || 'I'", f"list_append({x}.t, '{role}:')")
+
+    def put(x: str, letter: str, role: str) -> str:
+        kept = f"init = '{letter}'"
+        row = _state(
+            f"{x}.c + extra + CASE WHEN {kept} THEN 0 ELSE 1 END",
+            f"{x}.a || CASE WHEN {kept} THEN 'K' ELSE 'R' END",
+            f"list_append({x}.t, CASE WHEN {kept} THEN role ELSE '{role}' END || ':' || text)",
+        )
+        return f"CASE WHEN goes THEN {none} ELSE {row} END"
+
+    system = _state("s.c + extra", "s.a || 'K'", "list_append(s.t, role || ':' || text)")
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k
+  FROM conversations),
+ x AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM d),
+ r AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    left(role, 1) AS init
+  FROM x),
+ f AS (
+  SELECT *, lag(init) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN content = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN right(content, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM r),
+ g AS (SELECT *, fault IN ('blank', 'duplicate') AS goes, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM f),
+ n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || init NOT IN ('su', 'ua', 'au')) AS illegal,
+    count(*) AS rows
+  FROM g GROUP BY conv_id),
+ st AS (
+  SELECT conv_id, 0 AS i, {begin} AS s, {none} AS q, {none} AS e, {none} AS o FROM n
+  UNION ALL
+  SELECT conv_id, i + 1, {delete("s")},
+    least({delete("q")}, CASE WHEN init = 's' AND NOT goes THEN {system} ELSE {none} END),
+    least({delete("e")}, {put("o1", "a", "assistant")}),
+    least({delete("o")}, {put("s", "u", "user")}, {put("q", "u", "user")}, {put("e1", "u", "user")})
+  FROM (
+    SELECT st.conv_id, st.i, s, q, e, o, g.init, g.goes, g.extra, g.role, g.text,
+      least(o, {insert("s", "user")}, {insert("q", "user")}, {insert("e", "user")}) AS o1,
+      least(e, {insert("o", "assistant")}) AS e1
+    FROM st JOIN g ON g.conv_id IS NOT DISTINCT FROM st.conv_id AND g.i = st.i + 1)),
+ done AS (
+  SELECT st.conv_id, least(s, e, {insert("o", "assistant")},
+    {_state("q.c + 10", "q.a || 'II'", "list_concat(q.t, ['user:', 'assistant:'])")}) AS best
+  FROM st JOIN n ON n.conv_id IS NOT DISTINCT FROM st.conv_id AND n.rows = st.i)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 SQL = {
+    "op12_repair_conversations": _repair(),
     "op11_periodic_runs": rf"""
 WITH h AS (
   SELECT doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} AS h,

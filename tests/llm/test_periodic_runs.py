@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortkit.llm import words as words_module
@@ -73,8 +74,16 @@ def test_one_word_many_times():
     assert (start.tolist(), length.tolist(), period.tolist()) == ([0], [50_000], [1])
 
 
-def test_whole_texts_with_nulls_and_odd_rows(spark, odd, monkeypatch):
-    monkeypatch.setattr(words_module, "PART", 100)
+def test_parts_hold_whole_texts(monkeypatch):
+    monkeypatch.setattr(words_module, "PART", 20)
+    rows = ["a b a b", "", "c " * 40, " \t", "d", "é é", "x y z"]
+    found = [(row, to, len(w.hash)) for row, to, w in words_module.parts(pa.array(rows))]
+    assert [f[:2] for f in found] == [(0, 2), (2, 3), (3, 7)]
+    assert [f[2] for f in found] == [4, 40, 6]
+    assert words_module.joined(w := next(words_module.parts(pa.array(rows[3:])))[2], w.starts >= 0).to_pylist() == ["", "d", "é é", "x y z"]
+
+
+def test_whole_texts_with_nulls_and_odd_rows(spark, odd):
     found = periodic_runs(odd)
     assert found.columns == ["doc_id", "n_words", "runs", "collapsed"]
     key = lambda r: tuple((x is not None, x) for x in r)
