@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm.conversations import conversation_reports, repair_conversations
 from cohortkit.llm.periodic_runs import periodic_runs
+from cohortkit.llm.repeated_windows import remove_repeated_windows
 from cohortkit.llm.ship import ship
 from cohortkit.llm.text import WORD, whole
 from cohortkit.sources import table
@@ -84,7 +85,15 @@ def op12_repair_conversations(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op11_periodic_runs, op12_repair_conversations)}
+def op13_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    ship(spark)
+    found = remove_repeated_windows(table(spark, directory, "documents"), length=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    q.__name__: q for q in (op11_periodic_runs, op12_repair_conversations, op13_substring_dedup)
+}
 
 
 def _crc32(text: str) -> str:
@@ -217,5 +226,23 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, longest.s AS start, -longest.l A
   longest.p AS period, 1000 * -longest.l // longest.p AS exponent_milli,
   sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM t LEFT JOIN listed ON listed.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id IS NOT DISTINCT FROM t.doc_id
+""",
+    "op13_substring_dedup": r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+ w AS (
+  SELECT doc_id, unnest(range(len(words) - 12)) AS i,
+    unnest(list_transform(range(len(words) - 12), lambda i: array_to_string(words[i + 1:i + 13], ' '))) AS win
+  FROM t WHERE len(words) >= 13),
+ f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM w),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM f WHERE first < doc_id),
+ each AS (SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS word FROM t),
+ kept AS (
+  SELECT each.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY each.i) AS text
+  FROM each ANTI JOIN gone ON gone.doc_id = each.doc_id AND gone.i = each.i
+  GROUP BY each.doc_id)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id IS NOT DISTINCT FROM t.doc_id
 """,
 }

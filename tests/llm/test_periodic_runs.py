@@ -80,7 +80,9 @@ def test_parts_hold_whole_texts(monkeypatch):
     found = [(row, to, len(w.hash)) for row, to, w in words_module.parts(pa.array(rows))]
     assert [f[:2] for f in found] == [(0, 2), (2, 3), (3, 7)]
     assert [f[2] for f in found] == [4, 40, 6]
-    assert words_module.joined(w := next(words_module.parts(pa.array(rows[3:])))[2], w.starts >= 0).to_pylist() == ["", "d", "é é", "x y z"]
+    last = next(words_module.parts(pa.array(rows[3:])))[2]
+    assert words_module.joined(last, last.starts >= 0).to_pylist() == ["", "d", "é é", "x y z"]
+    assert words_module.joined(last, last.starts < 0).to_pylist() == ["", "", "", ""]
 
 
 def test_whole_texts_with_nulls_and_odd_rows(spark, odd):

@@ -1,0 +1,91 @@
+"""Words of repeated windows against a comparison of all windows of all documents."""
+
+import random
+import re
+
+import pytest
+
+from cohortkit.llm.repeated_windows import levels, remove_repeated_windows
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def expected(rows, length):
+    """(id, text) to (id, words, removed, kept)."""
+    firsts = {}
+    split = [(key, WORD.findall(text or "")) for key, text in rows]
+    for key, words in split:
+        for i in range(len(words) - length + 1) if key is not None else ():
+            window = tuple(words[i : i + length])
+            firsts[window] = min(firsts.get(window, key), key)
+    for key, words in split:
+        gone = set()
+        for i in range(len(words) - length + 1) if key is not None else ():
+            if firsts[tuple(words[i : i + length])] < key:
+                gone |= set(range(i, i + length))
+        yield key, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def ordered(rows):
+    return sorted(map(tuple, rows), key=lambda r: [(x is not None, x) for x in r])
+
+
+def some_rows(rng, kinds):
+    passages = [[f"p{rng.randrange(kinds)}" for _ in range(rng.randint(5, 80))] for _ in range(12)]
+    rows = []
+    for key in range(150):
+        words = []
+        for _ in range(rng.randint(0, 6)):
+            if rng.random() < 0.5:
+                words += rng.choice(passages)[: rng.randint(1, 80)]
+            else:
+                words += [f"w{rng.randrange(kinds)}" for _ in range(rng.randint(1, 40))]
+        rows.append((rng.choice([key, key, key, 7, None]), rng.choice([" ", "\n", "\t "]).join(words)))
+    common = " ".join(passages[0])  # a passage that a third of all documents hold
+    return rows + [(1000 + k, f"{common} own {k}") for k in range(75)] + [(2000 + k, common) for k in range(5)]
+
+
+@pytest.mark.parametrize("length,kinds", [(3, 9), (13, 400), (13, 3), (30, 3), (55, 2)])
+def test_all_windows(spark, length, kinds):
+    rows = some_rows(random.Random(length * kinds), kinds)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = remove_repeated_windows(df, length=length)
+    assert found.columns == ["doc_id", "n_words", "n_removed", "kept"]
+    got = ordered(found.collect())
+    assert got == ordered(expected(rows, length))
+    assert any(r[2] for r in got)
+
+
+def test_odd_rows(odd):
+    """The 30,000 equal words of ids 6 and 7: the second's go, but not what follows them."""
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    assert ordered(remove_repeated_windows(odd).collect()) == ordered(expected(rows, 13))
+
+
+def test_no_rows(nothing):
+    assert remove_repeated_windows(nothing).collect() == []
+
+
+def test_other_names_and_types(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(2, text, "x"), (1, "a " + text, "y")], "key int, body string, block string")
+    found = remove_repeated_windows(df, "key", "body", length=13)
+    assert dict(found.dtypes)["key"] == "int"
+    assert {r.key: (r.n_removed, r.kept) for r in found.collect()} == {1: (0, "a " + text), 2: (20, "")}
+
+
+def test_levels():
+    assert levels(13, 6) == [7, 13]
+    assert levels(50, 6) == [7, 13, 25, 50]
+    assert levels(5, 6) == [5]
+
+
+def test_texts_are_dealt_once(spark, odd):
+    """Every step reads the texts from one shuffle."""
+    found = remove_repeated_windows(odd)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")].splitlines()
+    dealt = [line for line in final if "hashpartitioning(block" in line and "BY_NUM" in line and "ReusedExchange" not in line]
+    reused = [line for line in final if "hashpartitioning(block" in line and "BY_NUM" in line and "ReusedExchange" in line]
+    assert (len(dealt), len(reused)) == (1, 2)
