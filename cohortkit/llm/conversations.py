@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm import alternation
 from cohortkit.llm.alternation import UNENDED, Turn, chain, outcomes, repaired, whole
-from cohortkit.sources import cut_lineage
+from cohortkit.sources import cut_lineage, discard
 
 LARGE = 4096  # rows of a conversation that one task holds at once
 BATCH = 2048  # conversations given back at once
@@ -25,7 +25,8 @@ FAULTS = ("blank", "duplicate", "truncated", "illegal")
 
 _LINES = "array<struct<role:string,text:string>>"
 _LINE = pa.struct([("role", pa.string()), ("text", pa.string())])
-_COUNTS = ", ".join(f"{name} bigint" for name in ("gaps", *FAULTS, "cost"))
+_SUMS = ("gaps", *FAULTS, "cost")
+_COUNTS = ", ".join(f"{name} bigint" for name in _SUMS)
 
 
 def repair_conversations(
@@ -59,6 +60,43 @@ def repair_conversations(
     Null role and text count as one space; a null id is a conversation of its
     own. No rows give no rows; other columns are not read.
     """
+    short, long = _found(turns, id_column, turn_column, role_column, text_column)
+    both = short if long is None else short.unionByName(long)
+    return both.withColumnRenamed("id", id_column)
+
+
+def conversation_reports(
+    turns: DataFrame,
+    id_column: str = "conv_id",
+    turn_column: str = "turn",
+    role_column: str = "role",
+    text_column: str = "text",
+) -> DataFrame:
+    """One row per conversation: the counts, ``audit`` and ``repaired_sha256`` of ``repair_conversations``.
+
+    The digest is that of the repaired ``role:text`` lines joined by line
+    feeds. Conversations of one piece are read off their row. Pieces of longer
+    ones are sorted and read one after the other, as a digest of a whole text
+    needs; nothing but the audit is held.
+    """
+    short, long = _found(turns, id_column, turn_column, role_column, text_column)
+    lines = F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
+    text = F.array_join(lines, "\n")
+    reports = short.select("id", *_SUMS, "audit", F.sha2(text, 256).alias("repaired_sha256"))
+    if long is not None:
+        lines_there = F.when(F.size("repaired") > 0, text).alias("text")
+        pieces = long.select("id", "piece", *_SUMS, "audit", lines_there)
+        read = pieces.repartition("id").sortWithinPartitions("id", "piece")
+        id_type = turns.schema[id_column].dataType.simpleString()
+        schema = f"id {id_type}, {_COUNTS}, audit string, repaired_sha256 string"
+        reports = reports.unionByName(read.mapInArrow(_digested, schema))
+    return reports.withColumnRenamed("id", id_column)
+
+
+def _found(
+    turns: DataFrame, id_column: str, turn_column: str, role_column: str, text_column: str
+) -> tuple[DataFrame, DataFrame | None]:
+    """Conversations of one piece, and the pieces of longer ones where there are any."""
     blank = lambda c: F.coalesce(turns[c], F.lit(" "))
     rows = turns.select(
         turns[id_column].alias("id"),
@@ -71,36 +109,14 @@ def repair_conversations(
     sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > LARGE)
     long = cut_lineage(sizes.select(F.col("id").alias("long_id")))
     same = F.col("id").eqNullSafe(F.col("long_id"))
-    short = rows.join(long, same, "left_anti")
+    none = long.isEmpty()
+    short = rows if none else rows.join(long, same, "left_anti")
     dealt = short.repartition("id").sortWithinPartitions("id", "turn", "role", "text")
     found = dealt.mapInArrow(_short, schema)
-    if not long.isEmpty():
-        found = found.unionByName(_long(rows.join(long, same, "left_semi"), schema, id_type))
-    return found.withColumnRenamed("id", id_column)
-
-
-def conversation_reports(pieces: DataFrame, id_column: str = "conv_id") -> DataFrame:
-    """One row per conversation: the counts, ``audit`` and ``repaired_sha256``.
-
-    The digest is that of the repaired ``role:text`` lines joined by line
-    feeds. Conversations of one piece are read off their row. Pieces of longer
-    ones are sorted and read one after the other, as a digest of a whole text
-    needs; nothing but the audit is held.
-    """
-    lines = F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
-    counts = ("gaps", *FAULTS, "cost")
-    text = F.array_join(lines, "\n")
-    one = pieces.filter("pieces = 1").select(
-        id_column, *counts, "audit", F.sha2(text, 256).alias("repaired_sha256")
-    )
-    id_type = pieces.schema[id_column].dataType.simpleString()
-    several = pieces.filter("pieces is null").select(
-        F.col(id_column).alias("id"), "piece", *counts, "audit",
-        F.when(F.size("repaired") > 0, text).alias("text"),
-    )
-    read = several.repartition("id").sortWithinPartitions("id", "piece")
-    schema = f"id {id_type}, {_COUNTS}, audit string, repaired_sha256 string"
-    return one.unionByName(read.mapInArrow(_digested, schema).withColumnRenamed("id", id_column))
+    if none:
+        discard(long)
+        return found, None
+    return found, _long(rows.join(long, same, "left_semi"), schema, id_type)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

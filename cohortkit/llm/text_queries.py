@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm.conversations import conversation_reports, repair_conversations
+from cohortkit.llm.conversations import conversation_reports
 from cohortkit.llm.periodic_runs import periodic_runs
 from cohortkit.llm.repeated_windows import remove_repeated_windows
 from cohortkit.llm.ship import ship
@@ -73,7 +73,7 @@ def _damaged(rows: DataFrame) -> DataFrame:
 def op12_repair_conversations(spark: SparkSession, directory: str) -> DataFrame:
     ship(spark)
     rows = table(spark, directory, "conversations")
-    reports = conversation_reports(repair_conversations(_damaged(rows)))
+    reports = conversation_reports(_damaged(rows))
     every = rows.select(F.col("conv_id").alias("id")).distinct()
     both = every.join(reports, F.col("id").eqNullSafe(F.col("conv_id")), "left")
     numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")

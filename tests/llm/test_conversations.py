@@ -119,7 +119,7 @@ def expected(rows):
 
 
 def found(df):
-    rows = conversation_reports(repair_conversations(df)).collect()
+    rows = conversation_reports(df).collect()
     assert len({r.conv_id for r in rows}) == len(rows)
     return {r.conv_id: tuple(r)[1:] for r in rows}
 
