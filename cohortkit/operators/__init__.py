@@ -1,7 +1,7 @@
 """DataFrame-to-DataFrame operators.
 
-All are lazy but ``fit_logistic``, ``grid_bounds``, ``one_hot_grid``, ``roc_points`` and
-``auc``, which run jobs while they are built. No rows come to the driver.
+All are lazy but ``fit_logistic``, ``grid_bounds`` and ``one_hot_grid``, which run jobs while
+they are built. No rows come to the driver.
 """
 
 from cohortkit.operators.cohort import (
@@ -41,7 +41,7 @@ from cohortkit.operators.groups import (
     row_count,
     totals_by,
 )
-from cohortkit.operators.model import feature_table, fit_logistic, score
+from cohortkit.operators.model import Logit, feature_table, fit_logistic, score
 from cohortkit.operators.profile import (
     flag_counts,
     flag_profile,
@@ -51,6 +51,7 @@ from cohortkit.operators.profile import (
 )
 
 __all__ = [
+    "Logit",
     "auc",
     "bounding_box",
     "cohort",

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.functions import range_index
-
 RANGES = 256  # of scores; their number sets the balance of tasks only
+_STEP = 16
 
 
 def _inside():
@@ -20,25 +19,24 @@ def _inside():
 def _cumulated(df: DataFrame, score: str, label: str, ranges: int = RANGES) -> DataFrame:
     """Per distinct score, positives and negatives at it and above it.
 
-    Rows are first counted per score, which removes any hot score. Quantiles
-    fixed beforehand cut the distinct scores into ``ranges``; their number and
-    places only set the balance. A running sum inside each range plus the sums
-    of the ranges above it gives the whole running sum without sorting
-    everything in one task. Only one row per range is gathered and broadcast.
-    Rows without a score (null or NaN) and rows whose label is not 0 or 1 have
-    no place on the curve.
+    Rows are first counted per score, which removes any hot score. Quantiles of
+    the counted scores cut them into ``ranges``; their number and places only
+    set the balance. Cuts and sums read the shuffle of the counts, so the input
+    is read once and nothing runs before the result is asked for. A running
+    sum inside each range plus the sums of the ranges above it gives the whole
+    running sum without sorting everything in one task. Only one row per range
+    is gathered and broadcast. Rows without a score (null or NaN) and rows
+    whose label is not 0 or 1 have no place on the curve.
     """
     known = (
         df.select(df[score].alias("score"), df[label].alias("label"))
         .na.drop()
         .filter(F.col("label").isin(0, 1))
     )
-    shares = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(known.agg(F.percentile_approx("score", shares)).first()[0] or []))
     counted = known.groupBy("score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    ranged = counted.withColumn("part", range_index(F.col("score"), cuts)).repartition("part")
+    ranged = _ranged(counted, ranges).repartition("part")
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     above = Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -69,6 +67,23 @@ def _cumulated(df: DataFrame, score: str, label: str, ranges: int = RANGES) -> D
     )
 
 
+def _ranged(counted: DataFrame, ranges: int) -> DataFrame:
+    """The counted scores with ``part``: how many of ``ranges`` - 1 quantiles are not above the score.
+
+    Found in two steps, among every sixteenth quantile, then among the next ones.
+    """
+    shares = [k / ranges for k in range(1, ranges)]
+    # The counts are named so that this reads the same columns, and the shuffle is shared.
+    found = counted.agg(
+        F.struct(F.percentile_approx("score", shares).alias("cuts"), F.max("pos"), F.max("neg")).alias("found")
+    ).scalar()
+    below = lambda some: F.size(F.filter(some, lambda cut: cut <= F.col("score")))
+    coarse = F.filter("cuts", lambda _, i: i % _STEP == _STEP - 1)
+    with_cuts = counted.withColumn("cuts", found["cuts"]).withColumn("before", below(coarse) * _STEP)
+    part = F.col("before") + below(F.slice("cuts", F.col("before") + 1, F.lit(_STEP)))
+    return with_cuts.select("score", "pos", "neg", F.coalesce(part, F.lit(0)).alias("part"))
+
+
 def roc_points(df: DataFrame, score: str, label: str, thin: bool = False) -> DataFrame:
     """``(score, fpr, tpr)`` at every distinct score, and the origin.
 
@@ -100,13 +115,14 @@ def roc_points(df: DataFrame, score: str, label: str, thin: bool = False) -> Dat
 def auc(df: DataFrame, score: str, label: str, name: str = "auc") -> DataFrame:
     """One row: the exact area under the ROC curve, tied scores as one step.
 
-    Each score adds a trapezoid: its negatives times the mean of the positives
-    above it with and without its own. NULL if a class has no rows.
+    Each score adds a trapezoid: its negatives times the positives above it
+    with and without its own. These are summed in whole numbers, so the area
+    doesn't depend on the order of rows. NULL if a class has no rows.
     """
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    step = neg * (F.col("cum_pos") - pos / 2)
+    pos, neg, cum_pos = (F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "cum_pos"))
+    twice = F.sum((neg * (2 * cum_pos - pos)).cast("decimal(38,0)")).cast("double")
     pairs = F.max("all_pos").cast("double") * F.max("all_neg")
-    return _cumulated(df, score, label).agg(F.try_divide(F.sum(step), pairs).alias(name))
+    return _cumulated(df, score, label).agg(F.try_divide(twice, 2 * pairs).alias(name))
 
 
 def confusion_long(df: DataFrame, label: str, prediction: str, name: str = "n") -> DataFrame:

@@ -284,6 +284,6 @@ class Analyses:
         features = [c for c in rows.columns if c not in (self.at.key, _LABEL)]
         stored = cut_lineage(rows)
         train, test = op.hash_split(stored, self.at.key) if self.at.key else op.random_split(stored)
-        model = op.fit_logistic(train, features, _LABEL, collapse)
+        model = op.fit_logistic(train, features, _LABEL, collapse, to_maximum=True)
         scored = op.score(model, test, _LABEL, self.at.key)
         return ModelRun(model, train, scored, tuple(features), stored)

@@ -175,6 +175,97 @@ SELECT count(*), 'intercept', round(avg("Voters_Turnout"), 3) FROM rows"""
     return " UNION ALL ".join([*each, last])
 
 
+SWEEPS = 15
+
+
+def _fitted(features: str, names: tuple[str, ...]) -> str:
+    """The maximum of the likelihood, one coefficient at a time, and the scores of the test rows.
+
+    Features are centred and scaled on the training rows, equal rows counted.
+    Each step of the recursion moves one coefficient by its own Newton step;
+    the cycle over all of them is gone through ``SWEEPS`` times.
+    """
+    k = len(names) + 1
+    label = '"Voters_Turnout"'
+    moments = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in names)
+    scaled = ", ".join(f"({n} - m_{n}) / s_{n}" for n in names)
+    x = f"[CAST(1 AS DOUBLE), {scaled}]"
+    return f"""
+known AS MATERIALIZED ({features}),
+train AS (SELECT * FROM known WHERE {HASH.format(1)} % 100 < 80),
+moments AS (SELECT {moments} FROM train),
+counted AS MATERIALIZED (
+ SELECT {x} AS x, count(*) AS n, CAST(sum({label}) AS DOUBLE) AS pos FROM train, moments GROUP BY ALL),
+fit AS (
+ SELECT 0 AS step, list_transform(range({k}), lambda i: CAST(0 AS DOUBLE)) AS beta
+ UNION ALL
+ SELECT step + 1, list_transform(range({k}), lambda i: beta[i + 1] + CASE WHEN i = step % {k} THEN g / h ELSE 0 END)
+ FROM (
+  SELECT step, beta, sum(x[1 + step % {k}] * (pos - n * p)) AS g, sum(n * p * (1 - p) * x[1 + step % {k}] ** 2) AS h
+  FROM (SELECT step, beta, x, n, pos, 1 / (1 + exp(-list_dot_product(x, beta))) AS p FROM fit, counted)
+  GROUP BY step, beta)
+ WHERE step < {k * SWEEPS}),
+final AS (SELECT beta FROM fit WHERE step = {k * SWEEPS}),
+margins AS (
+ SELECT person_id, {label}, list_dot_product({x}, beta) AS margin
+ FROM known, moments, final WHERE {HASH.format(1)} % 100 >= 80),
+scored AS MATERIALIZED (
+ SELECT person_id, {label}, 1 / (1 + exp(-margin)) AS probability,
+  CAST(CASE WHEN margin > 0 THEN 1 ELSE 0 END AS DOUBLE) AS prediction
+ FROM margins)"""
+
+
+_SCORED_CURVE = """
+steps AS (
+ SELECT probability AS score, sum("Voters_Turnout") AS pos, count(*) - sum("Voters_Turnout") AS neg
+ FROM scored GROUP BY probability),
+curve AS (
+ SELECT score, pos, neg,
+  sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
+  sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_neg,
+  sum(pos) OVER () AS all_pos,
+  sum(neg) OVER () AS all_neg
+ FROM steps)
+"""
+
+
+def _model_scores(name: str, features: str, names: tuple[str, ...]) -> dict[str, str]:
+    """The fitted model's scores and every report that rests on them."""
+    fitted = _fitted(features, names)
+    ranked = f"{fitted}, {_SCORED_CURVE}"
+    out = {
+        name: _with(
+            """SELECT person_id, "Voters_Turnout", round(probability, 6) AS probability, prediction
+FROM scored""",
+            extra=fitted,
+        ),
+        f"{name}_auc": _with(
+            """SELECT round(CAST(sum(neg * (2 * cum_pos - pos)) AS DOUBLE)
+ / (2 * CAST(max(all_pos) AS DOUBLE) * CAST(max(all_neg) AS DOUBLE)), 6) AS auc FROM curve""",
+            extra=ranked,
+        ),
+        f"{name}_confusion_long": _with(
+            'SELECT "Voters_Turnout", prediction, count(*) AS count FROM scored GROUP BY 1, 2',
+            extra=fitted,
+        ),
+    }
+    if name == "lr_all":
+        out["lr_all_roc"] = _with(
+            """SELECT CAST(NULL AS DOUBLE) AS score, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
+UNION ALL SELECT round(score, 6), round(CAST(cum_neg AS DOUBLE) / CAST(all_neg AS DOUBLE), 6),
+ round(CAST(cum_pos AS DOUBLE) / CAST(all_pos AS DOUBLE), 6)
+FROM curve""",
+            extra=ranked,
+        )
+        out["lr_all_confusion"] = _with(
+            """SELECT "Voters_Turnout", count(*) FILTER (WHERE prediction = 0) AS "0.0",
+ count(*) FILTER (WHERE prediction = 1) AS "1.0", count(*) FILTER (WHERE false) AS other
+FROM scored GROUP BY 1""",
+            extra=fitted,
+        )
+    return {key: text.replace("WITH people AS (", "WITH RECURSIVE people AS MATERIALIZED (", 1) for key, text in out.items()}
+
+
 def _model_reports() -> dict[str, str]:
     demographics = ("age", "gender", "income_amount")
     models = {
@@ -187,6 +278,7 @@ def _model_reports() -> dict[str, str]:
     }
     out = {}
     for name, (rows, features) in models.items():
+        out |= _model_scores(name, rows, features)
         test = _split_part(rows, "test")
         out[f"{name}_check"] = _with(_score_equations(features), extra=_split_part(rows, "train"))
         out[f"{name}_test_labels"] = _with(

@@ -4,10 +4,12 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortkit import operators as op
 from cohortkit.plans import VOTER_FILE, Analyses
+from cohortkit.sources.tables import new_path
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +57,61 @@ def test_scores_of_the_test_rows(signal):
     assert op.auc(scored, "probability", "y").first()[0] > 0.65
 
 
+@pytest.mark.parametrize("collapse", [True, False])
+def test_to_the_maximum(signal, collapse):
+    """Where the likelihood is greatest, to the digits that Newton's method gives."""
+    train, _ = op.hash_split(signal, "k")
+    logit = op.Logit.of(op.fit_logistic(train, ["a", "b", "age"], "y", collapse, to_maximum=True))
+    expected = _newton(train)
+    assert logit.intercept == pytest.approx(expected[0], abs=1e-10)
+    assert logit.weights == pytest.approx(expected[1:], abs=1e-10)
+
+
+def test_one_label_has_no_maximum(spark):
+    df = spark.createDataFrame([(k % 2, 1) for k in range(20)], "a int, y int")
+    model = op.fit_logistic(df, ["a"], "y", to_maximum=True)
+    assert {r.prediction for r in op.score(model, df, "y").collect()} == {1.0}
+
+
+@pytest.mark.parametrize("to_maximum", [True, False])
+def test_scores_equal_the_model_transform(signal, to_maximum):
+    train, test = op.hash_split(signal, "k")
+    model = op.fit_logistic(train, ["a", "b", "age"], "y", to_maximum=to_maximum)
+    given = model.transform(test)
+    # One regression gives the two classes' probabilities, the other the mean.
+    p = F.col("prediction") if to_maximum else vector_to_array("probability")[1]
+    expected = {r.k: r.p for r in given.select("k", p.alias("p")).collect()}
+    scored = op.score(model, test, "y", "k")
+    for r in scored.collect():
+        assert r.probability == pytest.approx(expected[r.k], abs=1e-12)
+    assert "udt" not in repr(scored._jdf.queryExecution().analyzed().toString()).lower()
+
+
+def test_scoring_is_generated_code_and_lets_filters_pass(signal, tmp_path):
+    signal.write.parquet(f"{tmp_path}/rows")
+    rows = signal.sparkSession.read.parquet(f"{tmp_path}/rows")
+    scored = op.score(op.Logit(("a", "age"), (0.5, -0.01), 0.2), rows, "y", "k").filter("k < 100")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(k), LessThan(k,100)]" in plan
+    assert "ReadSchema: struct<k:int,a:int,age:int,y:int>" in plan
+    assert "*(1) Project" in plan and "UDF" not in plan
+    assert scored.count() == 100
+
+
+def test_a_null_feature_has_no_score(spark):
+    df = spark.createDataFrame([(None, 1), (1, 0)], "a int, y int")
+    rows = op.score(op.Logit(("a",), (1.0,), 0.0), df, "y").collect()
+    assert (rows[0].probability, rows[0].prediction) == (None, None)
+    assert rows[1].prediction == 1.0
+
+
+def test_a_fit_leaves_no_table_behind(signal):
+    folder = Path(new_path(signal.sparkSession).removeprefix("file:").replace("//", "/")).parent
+    before = {p.name for p in folder.glob("cohortkit-*")}
+    op.fit_logistic(signal, ["a", "b"], "y")
+    assert {p.name for p in folder.glob("cohortkit-*")} == before
+
+
 def test_feature_table_drops_only_incomplete_rows(spark):
     df = spark.createDataFrame([(None, 1, 0), (2, None, 1), (3, 4, 1)], "k int, a int, y int")
     rows = op.feature_table(df, ["a"], "y", "k").collect()
