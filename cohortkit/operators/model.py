@@ -44,15 +44,22 @@ def fit_logistic(
 
     Equal rows have equal likelihood, so with ``collapse`` they are first
     counted into one weighted row each: eleven yes/no features and a label
-    make at most 4,096 rows out of any number. The optimizer passes over that
-    frame many times, so its lineage is cut first; the table is deleted after.
+    make at most 4,096 rows out of any number. To the maximum, rows of equal
+    features become one with the share of 1 as its label. The optimizer passes
+    over that frame many times, so its lineage is cut first; the table is
+    deleted after.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol=_FEATURES)
     rows = train.select(*features, label)
+    to_maximum = to_maximum and rows.select(label).distinct().count() > 1
     if collapse:
-        counted = rows.groupBy(*features, label).agg(F.count("*").cast("double").alias(_WEIGHT))
+        weight = F.count("*").cast("double").alias(_WEIGHT)
+        if to_maximum:
+            counted = rows.groupBy(*features).agg(F.avg(label).alias(label), weight)
+        else:
+            counted = rows.groupBy(*features, label).agg(weight)
         rows = cut_lineage(counted)
-    if to_maximum and rows.select(label).distinct().count() > 1:
+    if to_maximum:
         regression = GeneralizedLinearRegression(
             featuresCol=_FEATURES, labelCol=label, family="binomial", link="logit", tol=1e-12, maxIter=50
         )
