@@ -9,6 +9,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from cohortkit import operators as op
+from cohortkit.operators import evaluate
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +157,43 @@ def test_labels_other_than_0_and_1_are_not_on_the_curve(spark):
     points = lambda d: sorted(map(str, op.roc_points(d, "score", "label").collect()))
     assert points(df) == points(known)
     assert op.auc(df, "score", "label").first()[0] == 0.5
+
+
+def _ran(plan):
+    """The lines of an adaptive plan without those that were planned at first."""
+    hidden = None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :|+-"))
+        if hidden is not None and depth < hidden:
+            hidden = None
+        if "== Initial Plan ==" in line:
+            hidden = depth
+        if hidden is None:
+            yield line
+
+
+@pytest.mark.parametrize("judge", [op.auc, op.roc_points])
+def test_curves_read_the_input_once_and_only_when_asked(spark, tmp_path, judge):
+    rows = spark.range(5000).select(F.rand(1).alias("score"), (F.col("id") % 2).alias("label"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    read = spark.read.parquet(f"{tmp_path}/rows")
+    spark.sparkContext.setJobGroup(judge.__name__, "curve")
+    built = judge(read, "score", "label")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(judge.__name__)
+    built.collect()
+    ran = "\n".join(_ran(built._jdf.queryExecution().executedPlan().toString()))
+    assert ran.count("FileScan parquet") == 1
+    assert ran.count("ReusedExchange") >= 1
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 5, 256])
+def test_any_number_of_ranges_gives_one_curve(spark, ranges, monkeypatch):
+    rows = [(int(k * 7919 % 100 < 40), (k * 31 % 97) / 97) for k in range(900)]
+    df = spark.createDataFrame(rows, "label int, score double").repartition(3)
+    steps = evaluate._cumulated(df, "score", "label", ranges)
+    got = sorted((r.score, r.cum_pos, r.cum_neg) for r in steps.collect())
+    expected = [
+        (s, sum(l for l, v in rows if v >= s), sum(1 - l for l, v in rows if v >= s)) for s in sorted({v for _, v in rows})
+    ]
+    assert got == expected
+    assert steps.select("part").distinct().count() == min(ranges, len(expected))
