@@ -166,7 +166,7 @@ def _ran(plan):
         depth = len(line) - len(line.lstrip(" :|+-"))
         if hidden is not None and depth < hidden:
             hidden = None
-        if "== Initial Plan ==" in line:
+        if hidden is None and "== Initial Plan ==" in line:
             hidden = depth
         if hidden is None:
             yield line
