@@ -19,6 +19,8 @@ from cohortkit.llm.spans import mix
 from cohortkit.llm.text import whole
 from cohortkit.llm.words import grams, joined, parts
 
+BLOCKS = 4  # per shuffle partition, so that partitions come out even
+
 _HASHES = "bucket int, block int, hashes binary"
 _ANSWER = "block int, hashes binary"
 
@@ -59,7 +61,8 @@ def remove_repeated_windows(
     than a window stay whole. Windows are the same when their 64-bit hashes
     are. No rows give no rows; other columns are not read.
     """
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = BLOCKS * partitions
     id_type = docs.schema[id_column].dataType.simpleString()
     ladder = levels(length, shortest)
     text = whole(docs[text_column])
@@ -69,7 +72,7 @@ def remove_repeated_windows(
             docs[id_column].cast("bigint").alias("id"),
             text.alias("text"),
         )
-        .repartition(blocks, "block")
+        .repartition(partitions, "block")
         .sortWithinPartitions("block", "id")
     )
     by_block = dealt.groupBy("block")
