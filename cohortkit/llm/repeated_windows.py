@@ -19,7 +19,7 @@ from cohortkit.llm.spans import mix
 from cohortkit.llm.text import whole
 from cohortkit.llm.words import grams, joined, parts
 
-BLOCKS = 4  # per shuffle partition, so that partitions come out even
+BLOCKS = 4  # per shuffle partition, so that partitions come out even; as many times fewer buckets
 
 _HASHES = "bucket int, block int, hashes binary"
 _ANSWER = "block int, hashes binary"
@@ -62,7 +62,7 @@ def remove_repeated_windows(
     are. No rows give no rows; other columns are not read.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = BLOCKS * partitions
+    blocks, buckets = BLOCKS * partitions, max(1, partitions // BLOCKS)
     id_type = docs.schema[id_column].dataType.simpleString()
     ladder = levels(length, shortest)
     text = whole(docs[text_column])
@@ -80,16 +80,16 @@ def remove_repeated_windows(
     def first_level(table: pa.Table) -> pa.Table:
         block = _Block(table, ladder)
         if len(ladder) == 1:
-            return _sent(table, blocks, *block.firsts(block.fits(length)))
-        return _sent(table, blocks, np.unique(block.least[block.fits(ladder[1])]))
+            return _sent(table, buckets, *block.firsts(block.fits(length)))
+        return _sent(table, buckets, np.unique(block.least[block.fits(ladder[1])]))
 
     def level(at: int):
         def work(table: pa.Table, shared: pa.Table) -> pa.Table:
             block = _Block(table, ladder)
             some = block.candidates(at, _hashes(shared))
             if ladder[at] == length:
-                return _sent(table, blocks, *block.firsts(some))
-            return _sent(table, blocks, np.unique(block.windows(ladder[at])[some]))
+                return _sent(table, buckets, *block.firsts(some))
+            return _sent(table, buckets, np.unique(block.windows(ladder[at])[some]))
 
         return work
 
@@ -231,9 +231,9 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def _sent(table: pa.Table, blocks: int, hashed: np.ndarray, firsts: np.ndarray | None = None) -> pa.Table:
+def _sent(table: pa.Table, buckets: int, hashed: np.ndarray, firsts: np.ndarray | None = None) -> pa.Table:
     """A block's hashes by the bucket that compares them, with the first id of each where asked."""
-    bucket = (mix(hashed) % np.uint64(blocks)).astype(np.int32)
+    bucket = (mix(hashed) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     groups = np.split(order, cuts) if len(order) else []
