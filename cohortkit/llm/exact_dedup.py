@@ -99,7 +99,9 @@ def drop_exact_duplicates(
     """
     found = exact_duplicates(docs, id_column, text_column, keep).filter("kept")
     name = lambda i, digest: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), digest)
-    kept = found.select(name(F.col(id_column), F.col("text_sha256")).alias("_name"))
+    kept = found.select(name(F.col(id_column), F.col("text_sha256")).alias("name"))
     digest = F.sha2(lower_ascii(whole(docs[text_column])), 256)
-    rows = docs.withColumn("_name", name(docs[id_column], digest))
-    return rows.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns)
+    # Packed, so that no column's name is in the way.
+    doc = F.struct(*(docs[c] for c in docs.columns)).alias("doc")
+    rows = docs.select(doc, name(docs[id_column], digest).alias("name"))
+    return rows.join(kept, "name", "left_semi").dropDuplicates(["name"]).select("doc.*")

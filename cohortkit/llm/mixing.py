@@ -14,6 +14,7 @@ from cohortkit.sources import cut_lineage
 SALTS = 64
 STEPS = 60  # Newton steps at most; about ten are used
 TOLERANCE = 1e-9
+FARTHEST = 1e-6  # from a target, relatively, where the steps run out
 _UNIT = 2.0**30  # sums are of whole numbers of this part of a word, so their order is no matter
 
 
@@ -44,7 +45,7 @@ def mix_sources(
     more than ``limit`` times. Sums are of whole numbers and choices are by
     hash of the id, so reruns agree.
 
-    Columns: the id, ``row`` (a hash of id, source and text), the source,
+    Columns: the id, ``row`` (128 bits of id, source and text), the source,
     ``size``, ``source_size``, ``target``, ``taken``. A null text has size 0; documents without words are taken 0
     words. Repeated rows are separate documents. No rows give no rows; other
     columns are not read.
@@ -100,7 +101,11 @@ def mix_sources(
 
 
 def row_hash(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> Column:
-    return F.xxhash64(docs[id_column], docs[source_column], whole(docs[text_column]))
+    """128 bits of id, source and text."""
+    known = lambda c: F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-"))
+    source = known(source_column)
+    parts = (known(id_column), F.lit(" "), F.length(source).cast("string"), source, whole(docs[text_column]))
+    return F.unhex(F.md5(F.concat(*parts)))
 
 
 def take(
@@ -109,33 +114,31 @@ def take(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
-    length_column: str = "n_chars",
 ) -> DataFrame:
-    """The documents as often as the mix takes them; a part is a row with the first words.
+    """The documents, whole and with all their columns, as often as the mix takes them.
 
-    Rows that repeat id, source and text count together. ``length_column``, if
-    there is one, follows the text of a part.
+    Where the mix takes a part of a document, it comes once more or not, by
+    what is nearer. That is one document of a source at most, so each source
+    comes within half a document of its target. Documents without words are
+    taken no times. Rows that repeat id, source and text share their copies
+    evenly and keep their own other columns, whatever these are called. No
+    rows give no rows.
     """
-    taken = mixed.groupBy(F.col("row").alias("_row")).agg(
-        F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")))).alias("_copies"),
-        F.sum(F.when(F.col("size") > 0, F.col("taken") % F.col("size"))).alias("_part"),
+    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.nullif("size", F.lit(0))))
+    taken = (
+        mixed.groupBy("row")
+        .agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows"))
+        .filter("copies > 0")
     )
-    rows = docs.withColumn("_row", row_hash(docs, id_column, text_column, source_column))
-    every = F.col("_copies") + F.when(F.col("_part") > 0, 1).otherwise(0)
-    repeated = (
-        rows.dropDuplicates(["_row"])
-        .join(taken, "_row")
-        .filter(every > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), every)))
-    )
-    partly = F.col("_copy") > F.col("_copies")
-    words = F.regexp_extract_all(F.col(text_column), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")
-    out = repeated.withColumn(text_column, F.when(partly, cut).otherwise(F.col(text_column)))
-    if length_column in docs.columns:
-        length = F.when(partly, F.length(text_column)).otherwise(F.col(length_column))
-        out = out.withColumn(length_column, length.cast(docs.schema[length_column].dataType))
-    return out.select(*docs.columns)
+    row = row_hash(docs, id_column, text_column, source_column).alias("row")
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), row)
+    single = packed.join(taken.filter("rows = 1"), "row").select("doc", "copies")
+    several = packed.join(taken.filter("rows > 1"), "row")
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("doc")))
+    own = F.floor(F.col("copies") / F.col("rows")) + (place <= F.col("copies") % F.col("rows")).cast("int")
+    repeated = several.select("doc", own.alias("copies")).filter("copies > 0")
+    every = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return single.union(repeated).select("doc", every).select("doc.*")
 
 
 def source_targets(
@@ -198,6 +201,9 @@ def _solve(classes: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
         state = cut_lineage(_newton(classes, state, limit))
         if step % 3 == 2 and (state.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        if (state.agg(F.max("error")).first()[0] or 0.0) > FARTHEST:
+            raise RuntimeError(f"the multipliers are not found after {STEPS} steps")
     return sources.join(state.select("key", "at"), "key", "left")
 
 

@@ -44,7 +44,7 @@ def op1_warc(spark: SparkSession, directory: str) -> DataFrame:
     write_warc(page_records(table(spark, directory, "pages")), path)
     columns = ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]
     pages = read_warc(spark, path, columns).filter(F.col("record_type").isin("response", "revisit"))
-    number = lambda c: F.try_to_number(F.substring_index(c, ":", -1), F.lit("9" * 19)).cast("bigint")
+    number = lambda c: F.substring_index(c, ":", -1).try_cast("bigint")
     return pages.select(
         number("record_id").alias("page_id"),
         "payload_bytes",

@@ -105,9 +105,19 @@ def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_column: str
     """Write whole documents to one folder per shard, by slot.
 
     Ids must be unique. Rows go out by shard and slot range, so that several
-    tasks write a shard.
+    tasks write a shard. The documents' columns keep their names; where one is
+    called ``shard`` or ``slot``, the new one ends in underscores that make it
+    another. No rows write no folder of a shard.
     """
-    placed = docs.join(assigned.select(id_column, "shard", "slot"), id_column)
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
+    free = {}
+    for name in ("shard", "slot"):
+        free[name] = name
+        while free[name] in docs.columns:
+            free[name] += "_"
+    new = assigned.select(F.col(id_column).alias("id"), *(F.col(c).alias(f"new_{c}") for c in free))
+    doc = F.struct(*(docs[c] for c in docs.columns)).alias("doc")
+    packed = docs.select(doc, docs[id_column].alias("id"))
+    placed = packed.join(new, "id").select("doc.*", *(F.col(f"new_{c}").alias(to) for c, to in free.items()))
+    placed.repartitionByRange(*free.values()).sortWithinPartitions(*free.values()).write.partitionBy(
+        free["shard"]
     ).parquet(path)

@@ -93,7 +93,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     The table of files has a row per file and is broadcast.
     """
     files = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # By number: as text, part 100000 would come before part 99999.
+    number = F.regexp_extract("file", r"part-([0-9]+)", 1).cast("bigint")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     first = (
         files.groupBy("file")
         .agg(F.sum("n_tokens").alias("n"))

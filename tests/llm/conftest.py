@@ -5,13 +5,15 @@ from cohortkit.llm.ship import ship
 COLUMNS = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, "
     # Extra columns with names that the operators use inside.
-    "id string, hash string, size int, row int, tokens string, kept string, salt int, taken int"
+    "id string, hash string, size int, row int, tokens string, kept string, salt int, taken int, "
+    "shard int, slot int, doc string, name string, copies int, rows int, _name string, _row string, "
+    "_copy int, part int, block int, bin int, e bigint, turn int"
 )
 LONG = "word " * 30_000 + "x" * 70_000
 
 
 def odd_rows():
-    extra = ("a", "b", 1, 2, "c", "d", 3, 4)
+    extra = ("a", "b", 1, 2, "c", "d", 3, 4, 5, 6, "e", "f", 7, 8, "g", "h", 9, 10, 11, 12, 13, 14)
     texts = [
         (1, None, "en", "s1"),
         (2, "", "en", "s2"),

@@ -79,19 +79,44 @@ def test_rates_are_the_exponential_tilt(spark):
             assert abs(took - all_words * min(2, math.exp(at * n))) <= 2 * n
 
 
+def whole_copies(docs, mixed, taken):
+    """Each row that came out is one of the given, and each source is near its target."""
+    size = lambda t: len(WORD.findall(t or ""))
+    given = {tuple(r) for r in docs.collect()}
+    words, largest = {}, {}
+    for r in taken.collect():
+        assert tuple(r) in given
+        words[r["source"]] = words.get(r["source"], 0) + size(r["text"])
+    for r in docs.collect():
+        largest[r["source"]] = max(largest.get(r["source"], 0), size(r["text"]))
+    for r in mixed.select("source", "target").distinct().collect():
+        assert abs(words.get(r["source"], 0) - r["target"]) <= largest[r["source"]] / 2 + 1
+
+
 def test_taken_documents(spark, odd, nothing):
     docs = spark.createDataFrame(
         [(i, f"a{i} b{i}  c{i}\nd{i}", "s" if i % 3 else None, 9) for i in range(30)],
         "doc_id bigint, text string, source string, n_chars int",
     )
-    mixed = mixing.mix_sources(docs, (3, 1), 1.2, 2)
-    out = mixing.take(docs, mixed)
-    assert out.columns == docs.columns and out.dtypes == docs.dtypes
-    words = sum(len(r["text"].split()) for r in out.collect())
-    assert words == mixed.groupBy().sum("taken").first()[0]
-    taken = mixing.take(odd, mixing.mix_sources(odd))
-    assert taken.columns == odd.columns
-    total = mixing.mix_sources(odd).groupBy().sum("taken").first()[0]
-    assert sum(len(WORD.findall(r["text"] or "")) for r in taken.collect()) == total
+    for given in (docs, odd):
+        mixed = mixing.mix_sources(given, (3, 1), 1.2, 2)
+        out = mixing.take(given, mixed)
+        assert out.dtypes == given.dtypes
+        whole_copies(given, mixed, out)
     assert mixing.mix_sources(nothing).collect() == []
     assert mixing.take(nothing, mixing.mix_sources(nothing)).collect() == []
+
+
+def test_rows_that_repeat_id_and_text_keep_their_own_columns(spark):
+    rows = [(1, "one two", "s", k) for k in range(5)] + [(k, f"text {k} more", "s", k) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, own int")
+    out = mixing.take(docs, mixing.mix_sources(docs, (1,), 2, 2))
+    assert sorted(map(tuple, out.collect())) == sorted(rows * 2)
+
+
+def test_an_end_without_a_solution_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    with pytest.raises(RuntimeError, match="multipliers"):
+        mixing.mix_sources(docs, (1, 7), 0.9, 2)

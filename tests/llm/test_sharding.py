@@ -61,3 +61,14 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, placed, str(tmp_path / "shards"))
     stored = spark.read.parquet(str(tmp_path / "shards"))
     assert stored.count() == 20 and {r[0] for r in stored.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_written_shards_keep_columns_of_the_same_names(spark, tmp_path):
+    rows = [(i, f"t{i}", 100 + i, "own") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard int, slot string")
+    placed = sharding.shard_by_size(docs, 3)
+    sharding.write_shards(docs, placed, str(tmp_path / "shards"))
+    stored = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(tuple, stored.select(*docs.columns).collect())) == rows
+    where = {r.doc_id: (r.shard_, r.slot_) for r in stored.collect()}
+    assert where == {r.doc_id: (r.shard, r.slot) for r in placed.collect()}
