@@ -7,6 +7,7 @@ they are built. No rows come to the driver.
 from cohortkit.operators.cohort import (
     cohort,
     complete_cases,
+    file_sample,
     fill_nulls,
     first_rows,
     flag_columns,
@@ -42,6 +43,7 @@ from cohortkit.operators.groups import (
     totals_by,
 )
 from cohortkit.operators.model import Logit, feature_table, fit_logistic, score
+from cohortkit.operators.moments import wide_correlations
 from cohortkit.operators.profile import (
     flag_counts,
     flag_profile,
@@ -49,6 +51,7 @@ from cohortkit.operators.profile import (
     null_counts,
     null_ratios,
 )
+from cohortkit.operators.reports import totals_by_sets
 
 __all__ = [
     "Logit",
@@ -60,6 +63,7 @@ __all__ = [
     "correlation_matrix",
     "distinct_values",
     "feature_table",
+    "file_sample",
     "fill_nulls",
     "first_rows",
     "fit_logistic",
@@ -89,4 +93,6 @@ __all__ = [
     "score",
     "tag_split",
     "totals_by",
+    "totals_by_sets",
+    "wide_correlations",
 ]

@@ -82,6 +82,23 @@ def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     )
 
 
+def file_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """All rows of a repeatable choice of a table's files, by a hash of their paths.
+
+    ``df`` must be a table read from files. The choice is made while the files
+    are listed, so what is not in the sample isn't opened and bytes read go
+    down with the fraction, where ``hash_sample`` reads everything. Rows come
+    by whole files: with files of n_i rows, the number of rows has mean
+    f * sum(n_i) and variance f * (1 - f) * sum(n_i ** 2), which is as good as
+    a sample of rows only where rows are spread over files at random.
+    """
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"fraction must be from 0 to 1, not {fraction}")
+    buckets = 16**_SAMPLE_DIGITS
+    path = F.concat(F.lit(f"{seed}:"), F.col("_metadata.file_path"))
+    return df.filter(hash_bucket(path, buckets, offset=9, digits=_SAMPLE_DIGITS) < round(fraction * buckets))
+
+
 def random_sample(df: DataFrame, fraction: float = 0.01, seed: int = 42) -> DataFrame:
     """Spark's own sample; the rows it takes depend on the partitioning."""
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortkit.operators.moments import wide_correlations
+
+MANY = 30  # columns whose correlations are matrices' work
 RANGES = 256  # of scores; their number sets the balance of tasks only
 
 
@@ -158,10 +161,12 @@ def correlation_matrix(
     One aggregation, one row per task. With ``collapse``, for columns of few
     values such as flags, equal rows are first counted into one weighted row,
     then means and centred products are summed; both passes read the same
-    shuffle. ``r`` is NULL where a column is constant. For tens of columns:
-    the plan has a sum for each pair.
+    shuffle. ``r`` is NULL where a column is constant. The plan has a sum for
+    each pair, so more than ``MANY`` columns go to ``wide_correlations``.
     """
     names = list(columns)
+    if len(names) > MANY:
+        return wide_correlations(df, names)
     short = [f"c{i}" for i in range(len(names))]
     complete = df.select(*[df[name].alias(c) for name, c in zip(names, short)]).na.drop()
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]

@@ -73,6 +73,86 @@ class ModelRun:
         return op.first_rows(self.scored, keys or ["probability"], n)
 
 
+@dataclass(frozen=True)
+class GroupReports:
+    """All reports by group, read off one stored table of totals, which ``close`` deletes.
+
+    Each is what the method of ``Analyses`` with its name gives.
+    """
+
+    totals: DataFrame
+    at: Layout
+
+    def close(self) -> None:
+        discard(self.totals)
+
+    def _of(self, report: str) -> DataFrame:
+        return self.totals.filter(F.col("report") == report)
+
+    def _mean(self, report: str, value: str, name: str, **keys: str) -> DataFrame:
+        """Keys, renamed, and the mean of a value."""
+        mean = F.try_divide(F.col(f"sum_{value}"), F.col(f"n_{value}"))
+        named = [F.col(key).alias(to) for key, to in keys.items()]
+        return self._of(report).select(*named, mean.alias(name))
+
+    def group_details(self) -> DataFrame:
+        return self._of("detail").select(F.col("detail").alias(self.at.group_detail))
+
+    def group_counts(self) -> DataFrame:
+        name = "ethnicgroup_count"
+        counts = self._of("group").select(F.col("group").alias(self.at.group), F.col("n").alias(name))
+        return counts.na.drop(subset=[self.at.group]).orderBy(F.desc(name), self.at.group)
+
+    def group_share(self) -> DataFrame:
+        counts = self._of("group").select(F.col("group").alias(self.at.group), F.col("n").alias("count"))
+        share = F.col("count") / counts.agg(F.sum("count")).scalar()
+        return counts.withColumn("share", share).withColumn("percent", F.round(100 * F.col("share"), 2))
+
+    def turnout_by_group(self) -> DataFrame:
+        name = "general_2020_turnout"
+        means = self._mean("group", "translated", name, group=self.at.group).na.drop()
+        return means.orderBy(F.desc(name), self.at.group)
+
+    def _ages(self) -> DataFrame:
+        return self._of("age").filter(F.col("age") != _SPECIAL_AGE)
+
+    def turnout_by_age(self) -> DataFrame:
+        mean = F.try_divide("sum_voted", "n_voted").alias("Average_Turnout_2020")
+        return self._ages().select(F.col("age").alias(self.at.age), mean).orderBy(self.at.age)
+
+    def totals_by_age(self) -> DataFrame:
+        return (
+            self._ages()
+            .select(
+                F.col("age").alias(self.at.age),
+                F.col("n").alias("Total_Voters"),
+                F.col("sum_voted").alias("Voters_Who_Voted"),
+            )
+            .orderBy(self.at.age)
+        )
+
+    def turnout_by_gender(self) -> DataFrame:
+        return self._mean("gender", "voted", "Average_Turnout_By_Gender", gender=self.at.gender)
+
+    def turnout_by_income(self) -> DataFrame:
+        band = self.at.income_band
+        return self._mean("income", "voted", "Average_Turnout_By_Income", band=band).orderBy(band)
+
+    def turnout_by_income_gender(self) -> DataFrame:
+        band, gender = self.at.income_band, self.at.gender
+        name = "Average_Turnout_By_Income_Gender"
+        return self._mean("income_gender", "voted", name, band=band, gender=gender).orderBy(band, gender)
+
+    def age_by_group(self) -> DataFrame:
+        detail = self.at.group_detail
+        return self._mean("detail", "years", "Average_Age", detail=detail).orderBy("Average_Age", detail)
+
+    def income_by_group(self) -> DataFrame:
+        detail = self.at.group_detail
+        means = self._mean("detail", "income", "Average_Income", detail=detail)
+        return means.na.drop(subset=["Average_Income"]).orderBy("Average_Income", detail)
+
+
 class Analyses:
     """Every method is a lazy query over ``df``, but the models, which fit."""
 
@@ -117,6 +197,38 @@ class Analyses:
         shares = op.group_share(self.df, self.at.group, "count")
         return shares.withColumn("percent", F.round(100 * F.col("share"), 2))
 
+    def group_totals(self) -> DataFrame:
+        """Rows, votes, ages and incomes by every key of the group reports, in one scan."""
+        at, df = self.at, self.df
+        return op.totals_by_sets(
+            df,
+            keys={
+                "group": df[at.group],
+                "detail": df[at.group_detail],
+                "age": op.int_column(df, at.age),
+                "gender": df[at.gender],
+                "band": df[at.income_band],
+            },
+            sets={
+                "group": ["group"],
+                "detail": ["detail"],
+                "age": ["age"],
+                "gender": ["gender"],
+                "income": ["band"],
+                "income_gender": ["band", "gender"],
+            },
+            values={
+                "translated": flag_translate(df[at.voted]),
+                "voted": self._flag(),
+                "years": df[at.age].try_cast("double"),
+                "income": parse_money(df[at.income_amount], "strip_all"),
+            },
+        )
+
+    def group_reports(self) -> GroupReports:
+        """Every report by group from one scan of the table; its totals are stored."""
+        return GroupReports(cut_lineage(self.group_totals()), self.at)
+
     # --- interests --------------------------------------------------------
 
     def interest_counts(self) -> DataFrame:

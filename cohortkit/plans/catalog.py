@@ -13,7 +13,7 @@ from cohortkit import operators as op
 from cohortkit.functions import flag_equals, flag_translate, parse_money, to_float
 from cohortkit.plans.analyses import Analyses, ModelRun
 from cohortkit.plans.layout import PEOPLE
-from cohortkit.sources import people
+from cohortkit.sources import cut_lineage, keep, people
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +120,67 @@ def _sample(run: ModelRun) -> DataFrame:
     return run.sample().select("person_id", "Voters_Turnout")
 
 
+WIDE = 200  # columns of the wide table
+
+
+def _wide(df: DataFrame) -> DataFrame:
+    """A table of very many columns: ages, missing by a rule of each column's own."""
+    return df.select(
+        *[F.when((df["person_id"] + k) % (k + 2) != 0, df["age"]).alias(f"c{k}") for k in range(WIDE)]
+    )
+
+
+def _interactions(a: Analyses) -> DataFrame:
+    """Correlations of the model features and of all products of two of them."""
+    rows = a.all_features()
+    names = [c for c in rows.columns if c not in ("person_id", "Voters_Turnout")]
+    products = {
+        f"{x} x {y}": F.col(x).cast("double") * F.col(y) for i, x in enumerate(names) for y in names[i:]
+    }
+    return op.wide_correlations(rows.withColumns(products), [*names, *products])
+
+
+def _sample_check(df: DataFrame) -> DataFrame:
+    """What holds for every random sample: rows of the table, none twice, about as many as asked for."""
+    sample = op.random_sample(df.select("person_id"), 0.25)
+    counted = sample.agg(
+        F.count("*").alias("taken"), (F.count("*") == F.count_distinct("person_id")).alias("none_twice")
+    )
+    strangers = sample.join(df.select("person_id"), "person_id", "left_anti").agg(F.count("*")).scalar()
+    rows = df.agg(F.count("*")).scalar()
+    near = F.abs(F.col("taken") - rows / 4) <= 5 * F.sqrt(rows * 3 / 16)
+    return counted.select(rows.alias("n"), "none_twice", strangers.alias("strangers"), near.alias("near_share"))
+
+
+def _split_check(df: DataFrame) -> DataFrame:
+    """What holds for every random split: each row in one part, the shares about as asked for."""
+    train, test = op.random_split(df.select("person_id"))
+    parts = train.select("person_id", F.lit(1).alias("train")).unionAll(test.select("person_id", F.lit(0)))
+    each = parts.groupBy("person_id").agg(F.count("*").alias("times"), F.max("train").alias("train"))
+    counted = each.agg(F.count("*").alias("n"), F.max("times").cast("bigint").alias("times"), F.sum("train").alias("train"))
+    near = F.abs(F.col("train") - 0.8 * F.col("n")) <= 5 * F.sqrt(0.16 * F.col("n"))
+    return counted.select("n", "times", near.alias("near_share"))
+
+
+def _file_check(df: DataFrame) -> DataFrame:
+    """What holds for a sample of files: each file wholly in it or not at all, the same again."""
+    stored = cut_lineage(df.select("person_id").repartition(16, "person_id"))
+    tag = lambda rows, n: rows.select("person_id", F.col("_metadata.file_name").alias("file"), F.lit(n).alias("n"))
+    every = tag(stored, 0)
+    for _ in range(2):
+        every = every.unionAll(tag(op.file_sample(stored, 0.5), 1))
+    sums = every.groupBy("file").agg(
+        F.count_if(F.col("n") == 0).alias("all"), F.count_if(F.col("n") == 1).alias("twice")
+    )
+    whole = F.col("twice").isin(0) | (F.col("twice") == 2 * F.col("all"))
+    return sums.agg(F.sum("all").alias("n"), F.bool_and(whole).alias("whole_files"))
+
+
+def _kept_turnout(df: DataFrame) -> DataFrame:
+    """Turnout by group over a kept projection."""
+    return Analyses(keep(df, ["ethnic_group", "voted"]), PEOPLE).turnout_by_group()
+
+
 MODELS = {
     "lr_interests": Analyses.interest_model,
     "lr_demo": Analyses.demographic_model,
@@ -138,6 +199,10 @@ QUERIES: dict[str, Query] = {
     "row_count": _on_people(op.row_count),
     "first_rows": _on_people(lambda df: op.first_rows(df, "person_id", 10)),
     "hash_sample": _on_people(lambda df: op.hash_sample(df, "person_id", SAMPLE_FRACTION)),
+    "random_sample_check": _on_people(_sample_check),
+    "random_split_check": _on_people(_split_check),
+    "file_sample_check": _on_people(_file_check),
+    "kept_turnout_by_group": _on_people(_kept_turnout),
     "rename_columns": _analysis(lambda a: a.area()),
     "complete_cases": _analysis(lambda a: a.area_points()),
     "flag_translate": _column("flag", lambda df: flag_translate(df["voted"])),
@@ -168,12 +233,18 @@ QUERIES: dict[str, Query] = {
     "turnout_by_income_gender": _analysis(lambda a: a.turnout_by_income_gender()),
     "avg_age_by_group": _analysis(lambda a: a.age_by_group()),
     "avg_income_by_group": _analysis(lambda a: a.income_by_group()),
+    "group_totals": _analysis(lambda a: a.group_totals()),
+    **{
+        f"report_{name}": _analysis(lambda a, name=name: getattr(a.group_reports(), name)())
+        for name in ("turnout_by_group", "group_share", "totals_by_age", "turnout_by_income_gender", "age_by_group", "income_by_group")
+    },
     # profiles
     "interest_counts": _analysis(lambda a: a.interest_counts()),
     "interest_ratio": _analysis(lambda a: a.interest_ratio()),
     "interest_table": _analysis(lambda a: a.interest_table()),
     "null_counts": _on_people(op.null_counts),
     "null_ratios": _analysis(lambda a: a.area_null_ratios()),
+    "null_profile_wide": _on_people(lambda df: op.null_ratios(_wide(df))),
     # the same analyses in one county's young cohort
     "cohort": _in_cohort(lambda a: a.df),
     "cohort_distinct_values": _in_cohort(lambda a: a.group_details()),
@@ -211,4 +282,5 @@ QUERIES: dict[str, Query] = {
     "confusion_long": _by_age_limit(lambda df: op.confusion_long(df, "label", "prediction")),
     "pivot_counts": _by_age_limit(lambda df: op.pivot_counts(df, "label", "prediction")),
     "correlation_matrix": _analysis(lambda a: a.interest_correlations()),
+    "wide_correlations": _analysis(_interactions),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortkit import operators as op
 from cohortkit.operators import evaluate
+from tests.plans import ran
 
 
 @pytest.fixture(scope="module")
@@ -159,19 +160,6 @@ def test_labels_other_than_0_and_1_are_not_on_the_curve(spark):
     assert op.auc(df, "score", "label").first()[0] == 0.5
 
 
-def _ran(plan):
-    """The lines of an adaptive plan without those that were planned at first."""
-    hidden = None
-    for line in plan.splitlines():
-        depth = len(line) - len(line.lstrip(" :|+-"))
-        if hidden is not None and depth < hidden:
-            hidden = None
-        if hidden is None and "== Initial Plan ==" in line:
-            hidden = depth
-        if hidden is None:
-            yield line
-
-
 @pytest.mark.parametrize("judge", [op.auc, op.roc_points])
 def test_curves_read_the_input_once_and_only_when_asked(spark, tmp_path, judge):
     rows = spark.range(5000).select(F.rand(1).alias("score"), (F.col("id") % 2).alias("label"))
@@ -181,9 +169,8 @@ def test_curves_read_the_input_once_and_only_when_asked(spark, tmp_path, judge):
     built = judge(read, "score", "label")
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup(judge.__name__)
     built.collect()
-    ran = "\n".join(_ran(built._jdf.queryExecution().executedPlan().toString()))
-    assert ran.count("FileScan parquet") == 1
-    assert ran.count("ReusedExchange") >= 1
+    assert ran(built).count("FileScan parquet") == 1
+    assert ran(built).count("ReusedExchange") >= 1
 
 
 @pytest.mark.parametrize("ranges", [1, 2, 5, 256])

@@ -19,6 +19,7 @@ TYPE_NAMES = {
     "int": "INTEGER",
     "bigint": "BIGINT",
     "double": "DOUBLE",
+    "boolean": "BOOLEAN",
 }
 
 
