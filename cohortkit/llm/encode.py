@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 
 from cohortkit.llm.spans import SPACE, hashes, texts
 
-SLOT_BITS = 20
-POOL = 1 << 22  # ids kept
+SLOT_BITS = 22  # places of pieces (92 MB)
+POOL = 1 << 24  # ids kept (64 MB)
 LONGEST = 64  # bytes of a piece that is kept
 TOGETHER = 256  # pieces in one call's text
 PART = 1 << 20  # bytes of text worked on at once
@@ -25,6 +25,8 @@ _MARK = 0x01  # a character that stands alone between pieces
 _SURE = np.zeros(256, bool)  # ASCII characters that are no white space
 _SURE[0x21:0x7F] = True
 
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -193,11 +195,9 @@ def encoded(column, path: str, end: int):
 def _heads(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The first eight bytes of each piece as a number."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(8):
-        byte = padded[starts + k].astype(np.uint64) << np.uint64(8 * k)
-        out |= np.where(size > k, byte, np.uint64(0))
-    return out
+    # A number at every byte, not only at every eighth.
+    every = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    return every[starts] & _FIRST[np.minimum(size, 8)]
 
 
 def _gather(pool: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
