@@ -38,7 +38,7 @@ def grid_buckets(
     df: DataFrame,
     buckets: Mapping[str, str],
     step: float = DEFAULT_STEP,
-    bounds: Bounds | None = None,
+    bounds: Bounds | Column | None = None,
 ) -> DataFrame:
     """Add a cell index per coordinate: ``buckets`` maps column to new column.
 
@@ -46,7 +46,8 @@ def grid_buckets(
     a missing coordinate has no cell. ``width`` is the step as it comes out
     of double arithmetic at ``min``, and the comparison with both cell borders
     settles points that the division puts on the wrong side. Without given
-    ``bounds`` they are one scalar subquery that reads only the coordinates.
+    ``bounds`` they are one scalar subquery that reads only the coordinates;
+    as a column they are a struct of ``low0``, ``high0``, ``low1`` and so on.
 
     Each stage names its results, so that the next refers to columns instead
     of repeating their expressions.
@@ -61,6 +62,8 @@ def grid_buckets(
             for label, end in (("low", F.min), ("high", F.max))
         ]
         box = staged.agg(F.struct(*ends)).scalar()
+    elif isinstance(bounds, Column):
+        box = bounds
     else:
         box = F.struct(
             *[
@@ -116,14 +119,26 @@ def grid_rate(
     step: float = DEFAULT_STEP,
     name: str = "rate",
     rows_name: str = "n",
+    collapse: bool = False,
 ) -> DataFrame:
     """Mean flag and rows per cell; rows without a cell are left out.
 
     They are left out after the aggregation, where they are few groups. A
     filter before it would move down to the scan and compute every coordinate
     twice.
+
+    The table is read twice, for the bounds and for the cells. With
+    ``collapse`` rows of equal coordinates are counted first, and bounds and
+    cells both read that shuffle: one scan, for tables where many rows share
+    their place.
     """
     cells = list(buckets.values())
+    if collapse:
+        counted, box = _counted_places(df, list(buckets), flag)
+        sums = grid_buckets(counted, buckets, step, box).groupBy(*cells)
+        mean = F.try_divide(F.sum("__yes"), F.sum("__known"))
+        located = F.sum(F.when(reduce(and_, [F.col(c).isNotNull() for c in cells]), F.col("__rows")))
+        return sums.agg(mean.alias(name), located.alias(rows_name)).filter(F.col(rows_name) > 0)
     located = F.count_if(reduce(and_, [F.col(c).isNotNull() for c in cells]))
     return (
         grid_buckets(df.withColumn("__flag", flag), buckets, step)
@@ -133,6 +148,21 @@ def grid_rate(
     )
 
 
+def _counted_places(df: DataFrame, names: list[str], flag: Column) -> tuple[DataFrame, Column]:
+    """Sums per distinct place, and the bounds of all places as a scalar of the same shuffle."""
+    places = df.select(*[_finite(df[n].cast("double")).alias(n) for n in names], flag.alias("__flag"))
+    counted = places.groupBy(*names).agg(
+        F.sum("__flag").alias("__yes"), F.count("__flag").alias("__known"), F.count("*").alias("__rows")
+    )
+    ends = [
+        end(n).alias(f"{label}{i}")
+        for i, n in enumerate(names)
+        for label, end in (("low", F.min), ("high", F.max))
+    ]
+    # The sums are named so that this reads the same columns, and the shuffle is shared.
+    return counted, counted.agg(F.struct(*ends, F.max("__yes"), F.max("__known"), F.max("__rows"))).scalar()
+
+
 def highest_cells(
     df: DataFrame, buckets: Mapping[str, str], bounds: Bounds, step: float = DEFAULT_STEP
 ) -> DataFrame:

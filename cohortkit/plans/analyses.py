@@ -291,10 +291,11 @@ class Analyses:
         highest = op.highest_cells(area, _GRID, bounds, step)
         return op.one_hot_grid(self.area_cells(step, bounds), vectors, highest)
 
-    def turnout_by_cell(self, step: float = DEFAULT_STEP) -> DataFrame:
+    def turnout_by_cell(self, step: float = DEFAULT_STEP, collapse: bool = False) -> DataFrame:
+        """``collapse`` counts equal places first, which reads the table once."""
         area = self.area()
         flag = flag_translate(area["General 2020"])
-        return op.grid_rate(area, _GRID, flag, step, "General 2020", "n")
+        return op.grid_rate(area, _GRID, flag, step, "General 2020", "n", collapse)
 
     # --- turnout by attribute ---------------------------------------------
 

@@ -259,6 +259,7 @@ QUERIES: dict[str, Query] = {
     "grid_buckets": _on_people(_cells),
     "one_hot_grid": _on_people(_one_hot),
     "grid_turnout": _analysis(lambda a: a.turnout_by_cell()),
+    "grid_turnout_counted": _analysis(lambda a: a.turnout_by_cell(collapse=True)),
     # models
     "hash_split": _on_people(lambda df: op.tag_split(df.select("person_id"), "person_id")),
     "model_features_interests": _analysis(lambda a: a.interest_features()),

@@ -457,6 +457,11 @@ FROM (SELECT count(*) AS n, """
     ),
     "grid_turnout": _with(
         """SELECT long_bucket, lat_bucket, round(avg(flag), 6) AS "General 2020", count(*) AS n
+FROM cells WHERE long_bucket IS NOT NULL AND lat_bucket IS NOT NULL GROUP BY 1, 2""",
+        extra=_CELLS,
+    ),
+    "grid_turnout_counted": _with(
+        """SELECT long_bucket, lat_bucket, round(avg(flag), 6) AS "General 2020", count(*) AS n
 FROM cells WHERE long_bucket IS NOT NULL AND lat_bucket IS NOT NULL GROUP BY 1, 2""",
         extra=_CELLS,
     ),

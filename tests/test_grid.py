@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortkit import operators as op
+from tests.plans import ran
 
 
 def _points(spark, values):
@@ -125,3 +126,25 @@ def test_bounding_box_leaves_out_what_the_grid_leaves_out(spark):
     rows = [(float("nan"),), (3.0,), (float("inf"),), (None,)]
     df = spark.createDataFrame(rows, "a double")
     assert tuple(op.bounding_box(df, ["a"]).first()) == (3.0, 3.0)
+
+
+@pytest.mark.parametrize("step", [0.05, 0.3])
+def test_counted_places_give_the_same_rates_from_one_scan(spark, tmp_path, step):
+    """Points on borders, many rows to a place, null flags and missing coordinates."""
+    rng = random.Random(3)
+    borders = [float(np.float32(30.25 + k * step)) for k in range(12)]
+    some = [*borders, *(rng.uniform(30.25, 33) for _ in range(40)), None, math.nan, math.inf]
+    rows = [(rng.choice(some), rng.choice(some), rng.choice([0, 1, None])) for _ in range(4000)]
+    spark.createDataFrame(rows, "x float, y float, f int").write.parquet(f"{tmp_path}/points")
+    df = spark.read.parquet(f"{tmp_path}/points")
+    axes = {"x": "a", "y": "b"}
+    once = op.grid_rate(df, axes, df["f"], step, collapse=True)
+    twice = op.grid_rate(df, axes, df["f"], step)
+    assert once.columns == twice.columns
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    assert ran(once).count("FileScan parquet") == 1
+
+
+def test_counted_places_of_no_rows(spark):
+    df = spark.createDataFrame([], "x float, y float, f int")
+    assert op.grid_rate(df, {"x": "a", "y": "b"}, df["f"], collapse=True).collect() == []
