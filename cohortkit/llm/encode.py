@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 
 from cohortkit.llm.spans import SPACE, hashes, texts
 
-SLOT_BITS = 22  # places of pieces (92 MB)
-POOL = 1 << 24  # ids kept (64 MB)
+SLOT_BITS = 21  # places of pieces (46 MB)
+POOL = 1 << 23  # ids kept (32 MB)
 LONGEST = 64  # bytes of a piece that is kept
 TOGETHER = 256  # pieces in one call's text
 PART = 1 << 20  # bytes of text worked on at once

@@ -125,20 +125,22 @@ def take(
     rows give no rows.
     """
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.nullif("size", F.lit(0))))
-    taken = (
+    taken = cut_lineage(
         mixed.groupBy("row")
         .agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows"))
         .filter("copies > 0")
     )
     row = row_hash(docs, id_column, text_column, source_column).alias("row")
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), row)
-    single = packed.join(taken.filter("rows = 1"), "row").select("doc", "copies")
-    several = packed.join(taken.filter("rows > 1"), "row")
-    place = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("doc")))
-    own = F.floor(F.col("copies") / F.col("rows")) + (place <= F.col("copies") % F.col("rows")).cast("int")
-    repeated = several.select("doc", own.alias("copies")).filter("copies > 0")
+    found = packed.join(taken.filter("rows = 1"), "row").select("doc", "copies")
+    repeated = taken.filter("rows > 1")
+    if not repeated.isEmpty():
+        place = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("doc")))
+        own = F.floor(F.col("copies") / F.col("rows")) + (place <= F.col("copies") % F.col("rows")).cast("int")
+        shared = packed.join(repeated, "row").select("doc", own.alias("copies"))
+        found = found.union(shared.filter("copies > 0"))
     every = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    return single.union(repeated).select("doc", every).select("doc.*")
+    return found.select("doc", every).select("doc.*")
 
 
 def source_targets(
