@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -160,3 +161,35 @@ def test_words_in_a_file_teach_the_same(monkeypatch):
     cut = toxicity.train(stored, toxic, times)
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(plain.tables, cut.tables, strict=True))
     assert np.allclose(plain.filters, cut.filters, atol=1e-4)
+
+
+def plain_logit(model, text):
+    """The network word by word: embeddings, every filter at every place, the largest, the last layer."""
+    upper = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: chr(c + 32) for c in range(0xC0, 0xDF) if c != 0xD7}
+    words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.translate(upper))
+    rows = []
+    for word in words:
+        raw = np.frombuffer(word.encode(), np.uint8)
+        places = toxicity.words_of(raw, np.array([0, len(raw)])).places[0]
+        rows.append(np.concatenate([t[p] for t, p in zip(model.tables, places, strict=True)]).astype(float))
+    total, column = model.out_bias, 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            at = [
+                sum(rows[i + k] @ model.filters[:, (column + k) * toxicity.FILTERS + f] for k in range(width) if i + k < len(rows))
+                for i in range(len(rows))
+            ]
+            unit = toxicity.WIDTHS.index(width) * toxicity.FILTERS + f
+            total += max(max(at, default=0.0) + model.bias[unit], 0.0) * model.out[unit]
+        column += width
+    return total
+
+
+def test_a_plain_forward_pass(fitted):
+    """Texts of several lengths and letters, many at once, against one at a time."""
+    _, _, model = fitted
+    random.seed(9)
+    pool = [*FILL["en"].split(), *BAD["en"], "Été", "ÀÉÎ", "w17", "🙂", "x-y", "LOWEICH!!", "日本"]
+    column = [" ".join(random.choice(pool) for _ in range(n)) for n in (0, 1, 2, 3, 9, 40, 120)]
+    found = np.concatenate([model.logits(w) for _, w in toxicity.all_words(pa.array(column))])
+    assert found == pytest.approx([plain_logit(model, t) for t in column], abs=1e-4)
