@@ -13,7 +13,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.sources.tables import cut_lineage, discard
+from cohortkit.sources.tables import cut_lineage
 
 _FEATURES = "__features"
 _WEIGHT = "__weight"
@@ -33,6 +33,7 @@ def fit_logistic(
     label: str,
     collapse: bool = True,
     to_maximum: bool = False,
+    stored: list[DataFrame] | None = None,
 ) -> PipelineModel:
     """Fit with Spark's default settings, or ``to_maximum`` of the likelihood.
 
@@ -46,8 +47,8 @@ def fit_logistic(
     counted into one weighted row each: eleven yes/no features and a label
     make at most 4,096 rows out of any number. To the maximum, rows of equal
     features become one with the share of 1 as its label. The optimizer passes
-    over that frame many times, so its lineage is cut first; the table is
-    deleted after.
+    over that frame many times, so its lineage is cut first. The model's summary
+    reads the table; it is put into ``stored`` to be discarded with the model.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol=_FEATURES)
     rows = train.select(*features, label)
@@ -59,6 +60,8 @@ def fit_logistic(
         else:
             counted = rows.groupBy(*features, label).agg(weight)
         rows = cut_lineage(counted)
+        if stored is not None:
+            stored.append(rows)
     if to_maximum:
         regression = GeneralizedLinearRegression(
             featuresCol=_FEATURES, labelCol=label, family="binomial", link="logit", tol=1e-12, maxIter=50
@@ -67,10 +70,7 @@ def fit_logistic(
         regression = LogisticRegression(featuresCol=_FEATURES, labelCol=label)
     if collapse:
         regression.setWeightCol(_WEIGHT)
-    model = Pipeline(stages=[assembler, regression]).fit(rows)
-    if collapse:
-        discard(rows)
-    return model
+    return Pipeline(stages=[assembler, regression]).fit(rows)
 
 
 @dataclass(frozen=True)

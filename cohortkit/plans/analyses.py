@@ -23,17 +23,18 @@ _GRID = {"Longitude": "long_bucket", "Latitude": "lat_bucket"}
 class ModelRun:
     """A fitted model, the rows it learned from and the scored test rows.
 
-    All read the run's one stored table, which ``close`` deletes.
+    All read the run's stored tables, which ``close`` deletes.
     """
 
     model: PipelineModel
     train: DataFrame
     scored: DataFrame
     features: tuple[str, ...]
-    stored: DataFrame
+    stored: tuple[DataFrame, ...]
 
     def close(self) -> None:
-        discard(self.stored)
+        for table in self.stored:
+            discard(table)
 
     def score_equations(self) -> DataFrame:
         """Per feature and for the intercept (``feature``, ``n_train``, ``value``).
@@ -395,8 +396,9 @@ class Analyses:
         whole table, and a split without a key cannot change between them.
         """
         features = [c for c in rows.columns if c not in (self.at.key, _LABEL)]
-        stored = cut_lineage(rows)
-        train, test = op.hash_split(stored, self.at.key) if self.at.key else op.random_split(stored)
-        model = op.fit_logistic(train, features, _LABEL, collapse, to_maximum=True)
+        rows = cut_lineage(rows)
+        stored = [rows]
+        train, test = op.hash_split(rows, self.at.key) if self.at.key else op.random_split(rows)
+        model = op.fit_logistic(train, features, _LABEL, collapse, to_maximum=True, stored=stored)
         scored = op.score(model, test, _LABEL, self.at.key)
-        return ModelRun(model, train, scored, tuple(features), stored)
+        return ModelRun(model, train, scored, tuple(features), tuple(stored))

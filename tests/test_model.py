@@ -105,10 +105,12 @@ def test_a_null_feature_has_no_score(spark):
     assert rows[1].prediction == 1.0
 
 
-def test_a_fit_leaves_no_table_behind(signal):
-    folder = Path(new_path(signal.sparkSession).removeprefix("file:").replace("//", "/")).parent
+def test_a_closed_run_leaves_no_table_behind(spark, voter_file):
+    folder = Path(new_path(spark).removeprefix("file:").replace("//", "/")).parent
     before = {p.name for p in folder.glob("cohortkit-*")}
-    op.fit_logistic(signal, ["a", "b"], "y")
+    run = Analyses(voter_file, VOTER_FILE).interest_model()
+    assert len(run.stored) == 2 and run.scored.count() > 0
+    run.close()
     assert {p.name for p in folder.glob("cohortkit-*")} == before
 
 
@@ -195,7 +197,7 @@ def test_score_equations_and_close(voter_file):
         total = sum(r[name] for r in rows)
         expected = sum(r[name] * r["Voters_Turnout"] for r in rows) / total
         assert found[name] == pytest.approx(expected, abs=1e-4)
-    file = run.stored.inputFiles()[0].removeprefix("file://")
+    file = run.stored[0].inputFiles()[0].removeprefix("file://")
     assert Path(file).exists()
     run.close()
     assert not Path(file).exists()
