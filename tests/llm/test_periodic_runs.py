@@ -1,7 +1,9 @@
 """Periodic runs against a search of every period, on random, odd and empty texts."""
 
+import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +11,7 @@ import pytest
 
 from cohortkit.llm import words as words_module
 from cohortkit.llm.periodic_runs import find_runs, periodic_runs
+from cohortkit.llm.text_queries import op11_periodic_runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,3 +112,29 @@ def test_texts_of_other_spaces_and_other_parameters(spark):
     found = {r.key: r for r in periodic_runs(df, "key", "body", shortest=6).collect()}
     assert [tuple(r) for r in found["x"].runs] == [(0, 9, 3)]
     assert found["x"].collapsed == "a b c d é" and found["y"].collapsed == "one"
+
+
+def test_the_query_on_odd_texts(spark, tmp_path):
+    """Ids that make a text periodic, with no words, few and many; null ids and texts."""
+    rng = random.Random(1)
+    texts = [None, "", " \t\n", "one", "a b", "é è ê ë", " ".join(f"w{rng.randrange(9)}" for _ in range(90))]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:14] + list(range(1000, 1007)) + [None] * 7
+    rows = [(i, texts[k % 7]) for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for i, text in rows:
+        words = WORD.findall(text or "")
+        h = None if i is None else zlib.crc32(str(i).encode())
+        if i is not None and h % 10 == 0 and words:
+            g, n = h // 10, len(words)
+            a, p = g % n, 1 + (n - g % n) // (3 + g % 8)
+            words = [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+        runs = every_run(words, 12)
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        lines = "".join(f"{s},{length},{q}\n" for s, length, q in runs)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (lines, collapsed(words, runs))]
+        milli = None if best[1] is None else 1000 * best[1] // best[2]
+        expected.append((i, len(runs), *best, milli, *digests))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, op11_periodic_runs(spark, str(tmp_path)).collect()), key=key) == sorted(expected, key=key)
+    assert any(r[1] for r in expected)

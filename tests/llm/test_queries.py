@@ -20,7 +20,7 @@ COLUMNS = {
 @pytest.fixture(scope="module")
 def engine():
     connection = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{TABLES}/{name}.parquet'")
     return connection
 

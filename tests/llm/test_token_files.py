@@ -51,3 +51,16 @@ def test_no_documents(spark, nothing, tmp_path):
     assert token_files.read_token_files(spark, path).collect() == []
     with pytest.raises(ValueError):
         token_files.write_token_files(nothing, path, TOKENIZER, 0, encoding="plain")
+
+
+def test_files_are_in_order_of_their_numbers(spark, tmp_path):
+    """As text, part 100000 comes before part 99999."""
+    for number, ids in ((99999, (1, 2)), (100000, (3, 4))):
+        rows = [(i, k, 1, [i]) for k, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "id bigint, file_start bigint, n_tokens int, tokens array<int>")
+        df.coalesce(1).write.parquet(str(tmp_path / f"w{number}"))
+        written = next((tmp_path / f"w{number}").glob("part-*.parquet"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        written.rename(tmp_path / "all" / f"part-{number}-x.snappy.parquet")
+    found = token_files.read_token_files(spark, str(tmp_path / "all")).collect()
+    assert {r.id: r.start for r in found} == {1: 0, 2: 1, 3: 2, 4: 3}

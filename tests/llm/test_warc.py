@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortkit.llm import warc
+from cohortkit.llm.queries import op1_warc
 
 PAGES = [
     (1, "http://a/é?x=1\r\n", "<p>same</p>"),
@@ -130,3 +131,10 @@ def test_no_pages(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write_warc(warc.page_records(pages(spark, [])), path)
     assert warc.read_warc(spark, path).collect() == []
+
+
+def test_the_query_on_negative_and_null_ids(spark, tmp_path):
+    rows = [(-5, "u", "same"), (-7, "u", "same"), (3, "u", None), (None, "u", "alone")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in op1_warc(spark, str(tmp_path)).collect()}
+    assert found == {-5: (4, "response", None), -7: (4, "revisit", -5), 3: (0, "response", None), None: (5, "response", None)}
