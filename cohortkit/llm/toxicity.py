@@ -496,12 +496,14 @@ def _bins(rows: DataFrame, known: DataFrame, model: Model) -> list:
     placed = rows.mapInArrow(place, f"id {id_type}, language string, bin int")
     placed = placed.groupBy("id", "language", "bin").agg(F.count(F.lit(1)).alias("n"))
     marks = known.groupBy("id").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    return (
+    bins = (
         placed.join(marks, "id")
         .groupBy("language", "bin")
         .agg(*(F.sum(F.col("n") * F.col(x)).alias(x) for x in ("toxic", "clean")))
         .collect()
     )
+    shared.destroy()
+    return bins
 
 
 def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
