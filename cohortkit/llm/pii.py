@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -78,15 +79,15 @@ def find_personal_data(
     and that no base span covers.
 
     The trees learn from planted data of known truth, see ``pii_truth``: forms
-    and look-alikes in contexts of at most ``CONTEXTS`` documents. Base rules
-    that are certain (a number of an address above 255, digits that fail
+    and look-alikes in contexts of all documents. Base rules that are certain (a number of an address above 255, digits that fail
     Luhn's test) hold for looser forms too, as a filter, and are no features.
     A kind's threshold is the least score with ``PRECISION`` on the look-alikes
     and forms of a fold of contexts that the trees don't learn from. Neither
     depends on how many candidates a table has.
 
     All work is in expressions of each row; nothing is shuffled but the
-    contexts and sums by kind and score. A null text counts as empty and has no spans; repeated rows are
+    contexts and counts of equal features, from which the trees are fitted, and
+    sums by kind and score. A null text counts as empty and has no spans; repeated rows are
     each returned. No rows give no rows; other columns are not read.
     """
     found = _candidates(docs, id_column, text_column)
@@ -146,36 +147,43 @@ def _named(spans: str | Column) -> Column:
 
 
 def _candidates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row ``base``, spans, and ``candidates``, spans with ``features``.
+    """Per row ``base``, spans, and ``candidates``, spans with ``features``."""
+    rows = _found(docs, id_column, text_column, [*BASE.items(), *WIDE.items()])
+    span = lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
+    kinds = list(BASE)
+    valid = [_only(_valid, k, f"all{i}") for i, k in enumerate(kinds)]
+    loose = [_only(_valid_loose, k, f"all{i + len(kinds)}") for i, k in enumerate(kinds)]
+    each = lambda m: F.struct(
+        m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), _features(m).alias("features")
+    )
+    return rows.select("id", F.transform(F.concat(*valid), span).alias("base"), F.concat(*loose).alias("loose")).select(
+        "id", "base", F.transform("loose", each).alias("candidates")
+    )
+
+
+def _found(
+    docs: DataFrame, id_column: str, text_column: str, patterns: list[tuple[str, str]], kind: str | None = None
+) -> DataFrame:
+    """``id`` and matches of each pattern, ``all0`` and so on; with a ``kind`` of rows those of its patterns only.
 
     Each pattern goes over a text once and sets marks around its matches; the
     marks part the text into pieces, of which every second is a match.
     """
     text = F.translate(whole(docs[text_column]), _MARKS, "\x03\x03")  # no pattern tells these apart
     rows = docs.select(docs[id_column].alias("id"), text.alias("text"))
-    patterns = [*((k, p) for k, p in BASE.items()), *((k, p) for k, p in WIDE.items())]
     n = range(len(patterns))
+    wanted = lambda k: F.lit(True) if kind is None else F.col(kind) == KINDS.index(k)
     marked = lambda k, p: F.when(
-        F.regexp_like("text", F.lit(POSSIBLE[k])),
+        wanted(k) & F.regexp_like("text", F.lit(POSSIBLE[k])),
         F.split(F.regexp_replace("text", p, f"{_MARKS[0]}$0{_MARKS[1]}"), f"[{_MARKS}]", -1),
     )
     rows = rows.select("id", *(marked(k, p).alias(f"pieces{i}") for i, (k, p) in enumerate(patterns)))
     rows = rows.withColumns({f"lengths{i}": F.transform(f"pieces{i}", lambda x: F.length(x)) for i in n})
     rows = rows.withColumns({f"chunks{i}": _chunk_sums(F.col(f"lengths{i}")) for i in n})
     rows = rows.withColumns({f"before{i}": _sums_before(F.col(f"chunks{i}")) for i in n})
-    rows = rows.select(
+    return rows.select(
         "id", *(_matches(KINDS.index(k), i).alias(f"all{i}") for i, (k, _) in enumerate(patterns))
     )
-    span = lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
-    kinds = list(BASE)
-    valid = [_only(_valid, k, f"all{i}") for i, k in enumerate(kinds)]
-    loose = [_only(_valid_loose, k, f"all{i + len(kinds)}") for i, k in enumerate(kinds)]
-    each = lambda m: F.struct(
-        m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), _features(m).alias("features")
-    )
-    return rows.select("id", F.transform(F.concat(*valid), span).alias("base"), F.concat(*loose).alias("loose")).select(
-        "id", "base", F.transform("loose", each).alias("candidates")
-    )
 
 
 def _total(numbers: Column) -> Column:
@@ -219,7 +227,7 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _only(rule: Callable[[str, Column], Column], kind: str, matches: str) -> Column:
+def _only(rule: Callable[[str, Column], Column], kind: str, matches: str | Column) -> Column:
     return F.filter(matches, lambda m: rule(kind, m["text"]))
 
 
@@ -299,14 +307,14 @@ def _planted(docs: DataFrame, text_column: str) -> DataFrame:
     Label 1 for personal data, 0 for look-alikes. Forms that no generator
     proposes as they are have a row without features.
     """
-    found = _candidates(planted(docs, text_column, KINDS), "truth", "text")
-    its = F.filter(
-        "candidates",
-        lambda c: (c["kind"] == F.col("id.kind")) & (c["start"] == F.col("id.start")) & (c["end"] == F.col("id.end")),
+    found = _found(planted(docs, text_column, KINDS), "truth", "text", list(WIDE.items()), "id.kind")
+    exact = lambda i: F.filter(
+        f"all{i}", lambda m: (m["start"] == F.col("id.start")) & (m["end"] == F.col("id.end"))
     )
+    its = F.concat(*(_only(_valid_loose, k, exact(i)) for i, k in enumerate(WIDE)))
     return found.select(
         F.col("id.kind").alias("kind"),
-        F.get(its, F.lit(0))["features"].alias("features"),
+        F.get(F.transform(its, _features), F.lit(0)).alias("features"),
         F.col("id.good").cast("double").alias("label"),
         (F.pmod("id.by", F.lit(FOLDS)) == 0).alias("check"),
     )
@@ -314,8 +322,8 @@ def _planted(docs: DataFrame, text_column: str) -> DataFrame:
 
 def _learn(docs: DataFrame, text_column: str) -> tuple[Score | None, dict[str, float]]:
     """The trees as an expression of the features, and each kind's threshold."""
-    known = cut_lineage(_planted(docs, text_column))
-    proposed = known.filter("features IS NOT NULL")
+    known = cut_lineage(_counted(_planted(docs, text_column)))
+    proposed = known.filter("features IS NOT NULL")  # earlier Spark would find the features twice, for a filter
     trees = _trees(proposed.filter("NOT check"))
     if trees is None:
         return None, {}
@@ -323,6 +331,15 @@ def _learn(docs: DataFrame, text_column: str) -> tuple[Score | None, dict[str, f
     return score, {name: _threshold(_bins(proposed, score, k)) for k, name in enumerate(KINDS)}
 
 
+def _counted(known: DataFrame) -> DataFrame:
+    """Equal rows as one, with their number ``n``.
+
+    Features are small numbers of a form and of 24 characters around it, so
+    there are few different rows however many documents lend a context.
+    """
+    return known.groupBy("kind", "features", "label", "check").agg(F.count(F.lit(1)).alias("n"))
+
+
 def planted_report(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``kind``, ``planted``, ``proposed``, ``selected``, ``wrong``: what becomes of the check fold's forms.
 
@@ -346,12 +363,17 @@ def planted_report(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def _trees(train: DataFrame) -> GBTClassificationModel | None:
-    """Boosted trees; none where the rows have one label only."""
-    rows = train.select(array_to_vector("features").alias("features"), "label").coalesce(1)
-    if rows.select("label").distinct().count() < 2:
+    """Boosted trees; none where the rows have one label only. A column ``n`` tells how often a row counts."""
+    n = (F.col("n") if "n" in train.columns else F.lit(1)).cast("double")
+    rows = train.select(array_to_vector("features").alias("features"), "label", n.alias("n"))
+    rows = rows.orderBy("label", train["features"]).coalesce(1)  # sums in one order; see ``_counted``
+    size, labels = rows.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    if labels < 2:
         return None
+    # With fewer bins Spark would choose the places of splits from a sample of the rows.
+    bins = 32 if size <= 10_000 else math.isqrt(size) + 1
     return GBTClassifier(
-        maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=5, checkpointInterval=-1, maxBins=32
+        maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=5, checkpointInterval=-1, maxBins=bins, weightCol="n"
     ).fit(rows)
 
 
@@ -372,9 +394,9 @@ def _bins(proposed: DataFrame, score: Score, kind: int) -> list:
     """Right ones and all of a kind's check fold by score, of which there are 101."""
     return (
         proposed.filter(F.col("check") & (F.col("kind") == kind))
-        .select("label", F.round(score(F.col("features")), 2).alias("score"))
+        .select("label", "n", F.round(score(F.col("features")), 2).alias("score"))
         .groupBy("score")
-        .agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n"))
         .collect()
     )
 

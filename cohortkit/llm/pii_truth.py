@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortkit.llm.text import whole
 
-CONTEXTS = 400  # documents that lend a context, at most; each takes every form
+CONTEXTS = float("inf")  # documents that lend a context: no bound, each takes every form
 AROUND = 40  # code points on either side
 
 # Made-up values, by a hash of context and form.
@@ -59,8 +59,7 @@ def _card(h: Column) -> Column:
 
 
 def _fours(h: Column, between: str) -> Column:
-    card = _card(h)
-    return F.concat_ws(between, *(F.substring(card, k, 4) for k in (1, 5, 9, 13)))
+    return F.regexp_replace(_card(h), "(.{4})(?=.)", f"$1{between}")
 
 
 def _octets(h: Column, between: str) -> Column:
@@ -127,17 +126,19 @@ BAD: list[tuple[str, str, Value]] = [
 def planted(docs: DataFrame, text_column: str, kinds: tuple[str, ...]) -> DataFrame:
     """``truth`` (kind, start, end, good, by) and ``text``: one form in one context.
 
-    Contexts come from at most ``CONTEXTS`` documents, by hash, from a place
-    in the text by hash, with whole words on both sides. The words that a form
-    may have before it stand there every other time; a number follows every
-    fourth time. Documents without words lend nothing.
+    Contexts come from all documents, equal texts once, from a place in the
+    text by hash, with whole words on both sides. The words that a form may
+    have before it stand there every other time; a number follows every fourth
+    time. Documents without words at that place lend nothing.
     """
     text = whole(docs[text_column])
     by = F.xxhash64(text)
     at = F.pmod(by, F.greatest(F.length(text), F.lit(1)))
     near = F.substring(text, (at + 1).cast("int"), F.lit(2 * AROUND))
     lent = docs.select(by.alias("by"), near.alias("near")).filter(F.regexp_like("near", F.lit(r"\p{L}\s+\p{L}")))
-    lent = lent.dropDuplicates(["by"]).orderBy("by").limit(CONTEXTS)
+    # Contexts are small and take long: as many tasks as the session's shuffles have.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lent = lent.repartition(tasks, "by").dropDuplicates(["by"])
     halves = lent.select(
         "by",
         F.regexp_extract("near", r"^\S*\s([\s\S]*?)\s\S*$", 1).alias("near"),

@@ -177,3 +177,19 @@ def test_texts_without_words_get_base_spans_only(spark):
     found = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
     assert [tuple(s) for s in found[1]["spans"]] == [("email", 0, 6)] and found[2]["spans"] == found[3]["spans"] == []
     assert pii.planted_report(docs).collect() == []
+
+
+def test_every_document_lends_a_context(spark):
+    docs = spark.range(700).selectExpr("id AS doc_id", "concat(repeat('some plain words ', 9), 'and number ', id) AS text")
+    rows = pii.planted(docs.union(docs), "text", pii.KINDS).groupBy("truth.by").count().collect()
+    assert len(rows) == 700 and {r["count"] for r in rows} == {len(pii_truth.GOOD) + len(pii_truth.BAD)}
+    known = pii.cut_lineage(pii._counted(pii._planted(docs, "text")))
+    assert known.agg(F.sum("n")).first()[0] == 36 * 700
+
+
+def test_counted_rows_make_the_same_trees(spark, prose):
+    known = pii.cut_lineage(pii._planted(prose, "text")).filter("features IS NOT NULL")
+    counted = pii.cut_lineage(pii._counted(known))
+    assert counted.count() < 0.9 * known.count()
+    one, other = (pii.trees_score(pii._trees(x.filter("NOT check")))(F.col("features")) for x in (known, counted))
+    assert known.agg(F.max(F.abs(one - other))).first()[0] < 1e-6
